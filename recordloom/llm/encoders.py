@@ -8,25 +8,66 @@ import numpy as np
 
 from recordloom.llm.common import tokenizer_path
 
+#: What may trail a word: one run of it behind an ASCII letter is always a token group of its own.
+TRAIL = b".,;:!?*$%&#"
+_LETTERS = frozenset(range(97, 123))
+
 
 class WordEncoder:
     """Encodes texts with a tokenizers file that drops white space, one distinct word at a time.
 
     Normaliser and splitter of such a file work within white-space separated words, so the ids of a text are
     those of its words in order. Words split at ASCII white space; a word's ids are kept in a bounded cache.
-    Lower case is folded first only where no special token could be made by it.
+    Lower case is folded first only where no special token could be made by it. New words go to the tokenizer
+    together, parted by a separator that none of them holds; marks that trail a word are looked up apart.
     """
 
-    def __init__(self, name: str, cache_words: int = 300_000):
+    def __init__(self, name: str, cache_words: int = 600_000, separator: str = "|"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.separator = separator.encode()
+        ids = self.tokenizer.encode(separator, add_special_tokens=False).ids
+        self.mark = ids[0] if len(ids) == 1 else None
         self.cache: dict[bytes, bytes] = {}
         self.limit = cache_words
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Put words into the cache that aren't there."""
+        apart = [w for w in words if self.mark is None or self.separator in w or b"<|" in w]
+        for word in apart:
+            self.cache[word] = self._ids(word.decode("utf-8")).tobytes()
+        plain = words if not apart else [w for w in words if w not in self.cache]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            ids = self._ids((b" " + self.separator + b" ").join(part).decode("utf-8"))
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the separator isn't a token of its own")
+            data, first = ids.tobytes(), 0
+            for word, cut in zip(part, [*(4 * cuts).tolist(), len(data)], strict=True):
+                self.cache[word] = data[first:cut]
+                first = cut + 4
+
+    def _missing(self, words: set[bytes]) -> None:
+        cache, halves, need = self.cache, [], set()
+        for word in words:
+            core = word.rstrip(TRAIL)
+            if len(core) < len(word) and core and core[-1] in _LETTERS and b"<|" not in word:
+                halves.append((word, core, word[len(core) :]))
+                need.update(halves[-1][1:])
+            else:
+                need.add(word)
+        self._learn(list(need.difference(cache)))
+        for word, core, trail in halves:
+            cache[word] = cache[core] + cache[trail]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         split = []
@@ -36,15 +77,11 @@ class WordEncoder:
         cache = self.cache
         new: set[bytes] = set()
         for words in split:
-            new.update(w for w in set(words).difference(cache))
+            new.update(set(words).difference(cache))
         if new:
             if len(cache) + len(new) > self.limit:
                 cache.clear()
                 new = {w for words in split for w in words}
-            order = list(new)
-            for at in range(0, len(order), 20_000):
-                part = order[at : at + 20_000]
-                for word, out in zip(part, self.tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                    cache[word] = np.array(out.ids, "<u4").tobytes()
+            self._missing(new)
         get = cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
