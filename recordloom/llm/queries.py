@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import chat, context_tree, frames, packing, quality_model, rule_list, sharding
+from recordloom.llm import chat, context_tree, frames, lexicon, packing, quality_model, rule_list, sharding
 from recordloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * 16)
 
