@@ -21,6 +21,8 @@ from recordloom.llm.common import map_arrow, text_bytes, tokenizer_path
 
 #: The public split pattern of byte-level vocabularies, a fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Marks that may trail a word; an apostrophe is none of them, as it can begin a group of its own.
+TRAIL = b".,;:!?*$%&#"
 _INSIDE = regex.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 #: A blank that touches white space, or white space beyond ASCII: such texts are cut with more care.
 _UNEVEN = regex.compile(rb"[\x09-\x0d\x1c-\x20] | [\x09-\x0d\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -48,6 +50,11 @@ class Merges:
             a, b = rule.split(" ") if isinstance(rule, str) else rule
             self.pairs.setdefault((vocab[a], vocab[b]), len(self.merged))
             self.merged.append(vocab[a + b])
+        keys = np.array([(a << 20) | b for a, b in self.pairs], np.int64)
+        by = np.argsort(keys)
+        self._keys, self._ranks = keys[by], np.array(list(self.pairs.values()), np.int32)[by]
+        self._made = np.array([*self.merged, 0], np.int32)
+        self._single = np.array(self.single, np.int32)
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.bytes = {i: bytes(raw[c] for c in s) for s, i in vocab.items() if all(c in raw for c in s)} | {i: s.encode() for s, i in self.special.items()}
         self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -69,6 +76,56 @@ class Merges:
             ids[i : i + 2] = [self.merged[low]]
         return ids
 
+    def pieces(self, data: list[bytes]) -> list[list[int]]:
+        """piece() of many short pieces at once: one merge a round in every piece that still has a rule."""
+        out: list[list[int]] = [[]] * len(data)
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        for low, high in ((1, 7), (7, 11), (11, 16), (16, 24), (24, 49)):
+            rows = np.flatnonzero((sizes >= low) & (sizes < high))
+            if len(rows):
+                for i, ids in zip(rows.tolist(), self._rounds([data[i] for i in rows.tolist()], high - 1), strict=True):
+                    out[i] = ids
+        for i in np.flatnonzero(sizes >= 49).tolist():
+            out[i] = self.piece(data[i])
+        return out
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the rule for each pair, or the number of rules; a right side of -1 is none."""
+        key = (left.astype(np.int64) << 20) | right
+        i = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where((self._keys[i] == key) & (right >= 0), self._ranks[i], len(self.merged)).astype(np.int32)
+
+    def _rounds(self, data: list[bytes], width: int) -> list[list[int]]:
+        raw = np.frombuffer(b"".join([d.ljust(width, b"\0") for d in data]), np.uint8).reshape(-1, width)
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        ids = np.where(np.arange(width) < size[:, None], self._single[raw], -1).astype(np.int32)
+        ids = np.concatenate([ids, np.full((len(ids), 1), -1, np.int32)], 1)
+        rank = self._rank(ids[:, :-1], ids[:, 1:])
+        none, done, live = len(self.merged), ids.copy(), np.arange(len(ids))
+        column = np.arange(width + 1)
+        while True:
+            at = rank.argmin(1)
+            low = rank[np.arange(len(rank)), at]
+            go = low < none
+            if not go.all():
+                done[live[~go]] = ids[~go]
+                live, ids, rank, at, low = live[go], ids[go], rank[go], at[go], low[go]
+            if not len(live):
+                break
+            row = np.arange(len(live))
+            ids[row, at] = self._made[low]
+            # what stands behind moves one place to the left
+            shifted = np.concatenate([ids[:, 1:], np.full((len(ids), 1), -1, np.int32)], 1)
+            ids = np.where(column > at[:, None], shifted, ids)
+            moved = np.concatenate([rank[:, 1:], np.full((len(rank), 1), none, np.int32)], 1)
+            rank = np.where(column[:-1] > at[:, None], moved, rank)
+            rank[row, at] = self._rank(ids[row, at], ids[row, at + 1])
+            inner = row[at > 0]
+            before = at[inner] - 1
+            rank[inner, before] = self._rank(ids[inner, before], ids[inner, before + 1])
+        count = (done >= 0).sum(1).tolist()
+        return [x[:n] for x, n in zip(done.tolist(), count, strict=True)]
+
     def _long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list: n log n for long pieces."""
         after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
@@ -93,7 +150,7 @@ class Merges:
     def encode(self, text: str) -> list[int]:
         """Exact ids of a text; special tokens in it are taken as such."""
         out: list[int] = []
-        for part in self._cut.split(text) if self._cut else [text]:
+        for part in self._cut.split(text) if self._cut and self._cut.search(text) else [text]:
             if part in self.special:
                 out.append(self.special[part])
                 continue
@@ -252,13 +309,39 @@ class Encoder:
         self.merges, self.lexicon, self.limit = merges, lexicon, cache_words
         self.codes: dict[bytes, int] = {}
         self.ids: list[list[int]] = []
+        self.trails: dict[bytes, list[int]] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        """Ids of words, which stand without the blank before them."""
+        """Ids of words, which stand without the blank before them.
+
+        Where the lexicon lacks a word, marks that trail a letter are a token group apart; bare words merge together.
+        """
         ranks = self.lexicon.find([b" " + w for w in words]).tolist()
+        plain: dict[bytes, int] = {}
+        parts: list = []
         for word, rank in zip(words, ranks, strict=True):
+            if rank >= 0:
+                parts.append(self.lexicon.ids_of(rank).tolist())
+                continue
+            core = word.rstrip(TRAIL)
+            if core.isalpha() or core and (core[-1] > 127 or core[-1:].isalpha()) and core.decode("utf-8").isalpha():
+                parts.append((plain.setdefault(core, len(plain)), word[len(core) :]))
+            else:
+                parts.append(self.merges.encode(" " + word.decode("utf-8")))
+        merged = self.merges.pieces([b" " + w for w in plain])
+        for word, part in zip(words, parts, strict=True):
+            if isinstance(part, tuple):
+                part = merged[part[0]] + self._marks(part[1]) if part[1] else merged[part[0]]
             self.codes[word] = len(self.ids)
-            self.ids.append(self.lexicon.ids_of(rank).tolist() if rank >= 0 else self.merges.encode(" " + word.decode("utf-8")))
+            self.ids.append(part)
+
+    def _marks(self, trail: bytes) -> list[int]:
+        ids = self.trails.get(trail)
+        if ids is None:
+            ids = self.merges.encode(trail.decode())
+            if len(self.trails) < 10_000:
+                self.trails[trail] = ids
+        return ids
 
     def batch(self, texts: list[bytes]) -> Iterator[list[int]]:
         """For each text the codes of its words; self.ids has their ids. Codes hold until the next call."""
