@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import chat, context_tree, frames, lexicon, packing, quality_model, rule_list, sharding
+from recordloom.llm import chat, context_tree, frames, lexicon, packing, quality_model, rule_list, sharding, weighted_print
 from recordloom.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_print.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score_documents(table(spark, sf_dir, "documents"))
 
