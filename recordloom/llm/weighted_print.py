@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import bucket_of, order_buckets, shuffle_partitions
@@ -27,9 +27,10 @@ def _gamma_quantiles(levels: int) -> list[float]:
     return out
 
 
-def _table(values: list[float]) -> Column:
-    """A constant array, kept as one literal."""
-    return F.lit(values) if len(values) == 0 else F.from_json(F.lit("[" + ",".join(map(repr, values)) + "]"), "array<double>")
+def tables(spark: SparkSession) -> tuple[Column, Column]:
+    """Quantiles of Gamma(2, 1) and logarithms of finer ones, as scalar subqueries: plans hold their names, not their values."""
+    rows = spark.createDataFrame([(_gamma_quantiles(1 << 11), [math.log(x) for x in _gamma_quantiles(1 << 13)])], "gamma array<double>, log_gamma array<double>")
+    return rows.select("gamma").scalar(), rows.select("log_gamma").scalar()
 
 
 def terms(text: Column) -> Column:
@@ -41,7 +42,7 @@ def terms(text: Column) -> Column:
     return F.sort_array(F.when(n >= WORDS, many).when(n > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>")))
 
 
-def samples(term: Column, weight: Column, count: int, first: int = 0) -> list[Column]:
+def samples(term: Column, weight: Column, count: int, gamma: Column, log_c: Column) -> list[Column]:
     """For each sample the pair (a, id) of one weighted term as one number, to be minimised over a text's terms.
 
     Of every term and sample a hash gives r and c, Gamma(2, 1) by tabled quantiles, and a uniform b. With
@@ -49,9 +50,8 @@ def samples(term: Column, weight: Column, count: int, first: int = 0) -> list[Co
     texts' samples agree as often as their generalised Jaccard similarity says. ln a takes the upper bits in steps
     of 2^-24, the id of (term, t) the lower 32.
     """
-    gamma, log_c = _table(_gamma_quantiles(1 << 11)), _table([math.log(x) for x in _gamma_quantiles(1 << 13)])
     log_w, out = F.log(weight.cast("double")), []
-    for j in range(first, first + count):
+    for j in range(count):
         h = F.xxhash64(term, F.lit(j))
         r = F.get(gamma, h.bitwiseAND(F.lit((1 << 11) - 1)).cast("int"))
         b = F.shiftrightunsigned(h, 40).cast("double") * (1.0 / (1 << 24))
@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, count: int = 32, buckets: int | None = None) -
     starts = split.select(*keys, "_side", "_h", F.expr("filter(sequence(1, greatest(size(_h), 1)), i -> i <= size(_h) and (i = 1 or _h[i - 1] != _h[i - 2]))").alias("_s"))
     runs = starts.select(*keys, "_side", "_h", F.inline_outer(F.arrays_zip(F.col("_s").alias("a"), F.expr("concat(slice(_s, 2, size(_h) + 1), array(size(_h) + 1))").alias("b"))))
     weighted = runs.select(*keys, "_side", F.expr("_h[a - 1]").alias("_term"), F.expr("b - a").alias("_w"))
-    least = weighted.groupBy(*keys, "_side").agg(*[F.min(s).alias(f"_m{j}") for j, s in enumerate(samples(F.col("_term"), F.col("_w"), count))])
+    least = weighted.groupBy(*keys, "_side").agg(*[F.min(s).alias(f"_m{j}") for j, s in enumerate(samples(F.col("_term"), F.col("_w"), count, *tables(docs.sparkSession)))])
     text = F.concat(*[F.lpad(F.lower(F.hex(F.coalesce(F.col(f"_m{j}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0xFFFFFFFF)))), 8, "0") for j in range(count)])
     prints = least.select(*keys, "_side", text.alias("_print"))
     both = prints.groupBy(*keys).agg(F.max(F.when(F.col("_side") == 0, F.col("_print"))).alias("fingerprint"), F.max(F.when(F.col("_side") == 1, F.col("_print"))).alias("edited_fingerprint"))
