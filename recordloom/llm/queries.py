@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import chat, context_tree, frames, lexicon, packing, quality_model, rule_list, sharding, weighted_print
+from recordloom.llm import chat, context_tree, frames, lexicon, packing, quality_model, rule_list, sharding, shingle_join, weighted_print
 from recordloom.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.token_files(table(spark, sf_dir, "documents"))
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.components(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id bigint, turn bigint, role string, text string")
