@@ -166,3 +166,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_ro
     """doc_id, held_out, score, predicted (1 from the threshold on) for every document."""
     scored = score(docs, fit(docs, labels, most_rows, shape))
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 4_000, shape: Shape = Shape()) -> DataFrame:
+    """The documents that score at the threshold or above, with all their columns."""
+    renamed = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    carried = docs.select(*[F.col(c).alias(renamed.get(c, c)) for c in docs.columns])
+    scored = score(carried, fit(docs, labels, most_rows, shape), carried.columns).where(F.col("score") >= threshold)
+    return scored.select(*[F.col(renamed.get(c, c)).alias(c) for c in docs.columns])

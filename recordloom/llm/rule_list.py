@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import fold, map_arrow, materialise, text_bytes
+from recordloom.llm.common import fold, map_arrow, text_bytes
 
 #: The characters that count as symbols, and white space.
 SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
@@ -47,13 +47,18 @@ def _dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts of BASE and the shares of FEATURES for every whole text, in one pass.
+def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id (or the columns of `keep`), the counts of BASE and the shares of FEATURES for every whole text, in one pass.
 
     Words are runs of anything but ASCII white space; null text has none, and all its figures are 0. Other columns
     are ignored; repeated rows give repeated rows.
     """
-    schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in BASE) + ", " + ", ".join(f"{c} double" for c in FEATURES if c not in BASE)
+    names = keep or ["doc_id"]
+    clash = {c.lower() for c in names} & {*BASE, *FEATURES}
+    if clash:
+        raise ValueError(f"columns named like statistics: {sorted(clash)}")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    schema = f"{fields}, " + ", ".join(f"{c} bigint" for c in BASE) + ", " + ", ".join(f"{c} double" for c in FEATURES if c not in BASE)
 
     def per_slice():
         # a word's 64-bit code: its number times an odd constant; numbers are kept for a bounded set of words
@@ -84,11 +89,11 @@ def statistics(docs: DataFrame) -> DataFrame:
                     ("punct_share", (len(text) - len(text.translate(None, punct))) * share), ("pipe_share", text.count(b"|") * share), ("end_share", (text.count(b". ") + text.count(b".\n") + text.count(b"!")) * per), ("short_share", sum(len(w) < 3 for w in words) * per),
                 ):
                     out[k].append(v)
-            return {"doc_id": batch.column("doc_id")} | out
+            return {c: batch.column(c) for c in names} | out
 
         return apply
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), per_slice, schema, "text")
+    return map_arrow(docs.select(*(names if "text" in names else [*names, "text"])), per_slice, schema, "text")
 
 
 @dataclass
@@ -156,7 +161,7 @@ def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
     return max(options, key=worth) if options else rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray, most_rules: int = 12, most_tests: int = 4, precision: float = 0.9, seed: int = 7) -> list[Rule]:
+def learn(x: np.ndarray, bad: np.ndarray, most_rules: int = 12, most_tests: int = 4, precision: float = 0.95, seed: int = 7) -> list[Rule]:
     """Sequential covering: grow on two thirds, prune on one third, keep while the rule is precise on both; drop what it covers."""
     rules: list[Rule] = []
     rng = np.random.default_rng(seed)
@@ -171,14 +176,14 @@ def learn(x: np.ndarray, bad: np.ndarray, most_rules: int = 12, most_tests: int
     return rules
 
 
-def fit(stats: DataFrame, labels: DataFrame, most_rows: int = 20_000, folds: int = 5) -> list[Rule]:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, folds: int = 5) -> list[Rule]:
     """Learn from at most most_rows labelled rows, the first by a hash of doc_id; rows with crc32(doc_id) mod folds = 0 stay out.
 
     No labels, or labels of one class, give an empty list: nothing is rejected.
     """
-    picked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0)).select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = stats.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", *FEATURES).toPandas().sort_values("doc_id")
-    return learn(rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy() == 0) if len(rows) else []
+    picked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0)).select("doc_id", F.col("quality").alias("_quality")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), ["doc_id", "_quality"]).toPandas().sort_values("doc_id")
+    return learn(rows[list(FEATURES)].to_numpy(float), rows["_quality"].to_numpy() == 0) if len(rows) else []
 
 
 def base_failed() -> Column:
@@ -195,10 +200,19 @@ def verdict(rules: list[Rule]) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """doc_id, the BASE counts, base_failed, kept and the number of the rule that rejects (0: none) for every document."""
-    stats = materialise(statistics(docs))
-    rules = fit(stats, labels, most_rows)
+    rules = fit(docs, labels, most_rows)
     number = None
     for i, rule in enumerate(rules):
         number = (F.when if number is None else number.when)(rule.condition(), F.lit(i + 1))
     number = F.lit(0) if number is None else number.otherwise(F.lit(0))
-    return stats.select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"), number.alias("rule"))
+    return statistics(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"), number.alias("rule"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> DataFrame:
+    """The documents that neither fail the base rules nor match a learned one, with all their columns; text passes through once."""
+    # the columns of documents may be named like statistics: n_words and the like are renamed on the way
+    renamed = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    rules = fit(docs, labels, most_rows)
+    carried = docs.select(*[F.col(c).alias(renamed.get(c, c)) for c in docs.columns])
+    good = statistics(carried, carried.columns).where(~base_failed() & verdict(rules))
+    return good.select(*[F.col(renamed.get(c, c)).alias(c) for c in docs.columns])

@@ -372,3 +372,10 @@ def components(docs: DataFrame, heavy_tokens: int = 131_072, heavy_from: int = 8
     labels = connected(map_arrow(exact, _groups(["rep", "shingles"], linked), "a bigint, b bigint", "shingles"))
     final = classes.select("sid", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("sid", "n", F.coalesce("label", "rep").alias("component"))
     return sets.join(final, ["sid", "n"], "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, that of the least doc_id, with all its columns; rows without doc_id stay."""
+    found = components(docs)
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
