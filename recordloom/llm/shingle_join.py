@@ -335,6 +335,22 @@ def linked(rows: list) -> Iterator[tuple[int, int]]:
             free = kept[here & ~near]
 
 
+def likely_in(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """Rows whose key may be in `wanted`: a hashed bitmap of bits / 8 bytes (4 MB), whatever the input's size, is broadcast.
+
+    No wanted row is lost; rows let through by mistake fall out in the join behind it.
+    """
+
+    def slot(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(bits))
+
+    place = slot(F.col(wanted.columns[0]))
+    maps = wanted.select((place / 32768).cast("bigint").alias("_map"), (place % 32768).cast("bigint").alias("_at")).groupBy("_map").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    marked = rows.withColumn("_slot", slot(F.col(column))).join(F.broadcast(maps), F.floor(F.col("_slot") / 32768) == F.col("_map"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_slot % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return marked.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_slot % 8 as int))")) != 0).select(*rows.columns)
+
+
 def components(docs: DataFrame, heavy_tokens: int = 131_072, heavy_from: int = 8, list_most: int = 4096, task_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) of every document.
 
@@ -360,7 +376,7 @@ def components(docs: DataFrame, heavy_tokens: int = 131_072, heavy_from: int = 8
     tasks = with_bits.select("_task", "sid", "n", "bits").repartition(shuffle_partitions(docs.sparkSession), "_task").sortWithinPartitions("_task", "sid")
     glued = connected(map_arrow(tasks, _groups(["sid", "n", "bits"], may_link), "a bigint, b bigint"))
     groups = materialise(glued.join(classes.select("sid", "n", "rep"), F.col("node") == F.col("sid")).select("rep", "n", F.col("label").alias("group")))
-    texts = docs.join(groups, F.col("doc_id") == F.col("rep")).select("rep", "n", "group", "text").dropDuplicates(["rep"])
+    texts = likely_in(docs, "doc_id", groups.select("rep")).join(groups, F.col("doc_id") == F.col("rep")).select("rep", "n", "group", "text").dropDuplicates(["rep"])
 
     def per_slice():
         shingles = Shingler()
