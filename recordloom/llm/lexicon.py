@@ -24,8 +24,6 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 #: Marks that may trail a word; an apostrophe is none of them, as it can begin a group of its own.
 TRAIL = b".,;:!?*$%&#"
 _INSIDE = regex.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
-#: A blank that touches white space, or white space beyond ASCII: such texts are cut with more care.
-_UNEVEN = regex.compile(rb"[\x09-\x0d\x1c-\x20] | [\x09-\x0d\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 def _byte_symbols() -> list[str]:
@@ -266,14 +264,20 @@ class Transducer:
         return self.ids[self.starts[rank] : self.starts[rank + 1]]
 
 
+#: Bytes that make a text uneven wherever they stand, and byte strings that do.
+_CONTROL = bytes([9, 11, 12, 13, 28, 29, 30, 31])
+_MARKS = (b"  ", b"\n ", b" \n", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80")
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Cut at every blank between two characters that aren't white space; token splits never cross such a place.
 
     All words but the first stand for themselves with the blank before them.
     """
-    if _UNEVEN.search(text):
+    marks = _MARKS[:3] if text.isascii() else _MARKS
+    if len(text.translate(None, _CONTROL)) < len(text) or any(m in text for m in marks) or text[:1].isspace() or text[-1:].isspace():
         return [w.encode("utf-8") for w in _INSIDE.split(text.decode("utf-8"))]
-    return text.strip(b" ").split(b" ") if not text[:1].isspace() and not text[-1:].isspace() else [w.encode("utf-8") for w in _INSIDE.split(text.decode("utf-8"))]
+    return text.split(b" ")
 
 
 def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
@@ -310,6 +314,18 @@ class Encoder:
         self.codes: dict[bytes, int] = {}
         self.ids: list[list[int]] = []
         self.trails: dict[bytes, list[int]] = {}
+        self.texts: list[str] = []  # by code: ids joined by commas, and the bytes they decode to
+        self.bytes: list[bytes] = []
+
+    def render(self) -> tuple[list[str], list[bytes]]:
+        """texts and bytes of all codes, brought up to date."""
+        if len(self.ids) < len(self.texts):
+            self.texts.clear()
+            self.bytes.clear()
+        for ids in self.ids[len(self.texts) :]:
+            self.texts.append(",".join(map(str, ids)))
+            self.bytes.append(decode(ids, self.merges.bytes))
+        return self.texts, self.bytes
 
     def _learn(self, words: list[bytes]) -> None:
         """Ids of words, which stand without the blank before them.
@@ -355,7 +371,7 @@ class Encoder:
             self.ids.clear()
             new = {w for words in split for w in (words or ())[1:]}
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         get = self.codes.__getitem__
         for text, words in zip(texts, split, strict=True):
             # a text's first word has no blank before it; a text with special tokens goes as one
@@ -367,6 +383,22 @@ def decode(ids: list[int], table: dict[int, bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids))
 
 
+_own: dict[tuple, Encoder] = {}
+
+
+def _encoder(tokenizer: str, name: str, shared) -> Encoder:
+    """The worker's encoder, kept from task to task. The lexicon is mapped from a file that loses its name at once."""
+    if (tokenizer, name) not in _own:
+        path = os.path.join(tempfile.gettempdir(), f"lexicon-{uuid.uuid4().hex}")
+        with open(path, "wb") as f:
+            f.write(shared.value)
+        mapped = Transducer.map(path)
+        os.unlink(path)
+        _own.clear()
+        _own[tokenizer, name] = Encoder(Merges(tokenizer), mapped)
+    return _own[tokenizer, name]
+
+
 def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", lexicon_words: int = 65_536, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and the decoded text, of every whole text.
 
@@ -381,26 +413,12 @@ def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", lexi
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
 
     def per_slice():
-        # the executor's own copy: written once under another name and then renamed
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{name}")
-        if not os.path.exists(path):
-            with open(part := f"{path}.{uuid.uuid4().hex}", "wb") as f:
-                f.write(shared.value)
-            os.replace(part, path)
-        own = Merges(tokenizer)
-        encoder = Encoder(own, Transducer.map(path))
-        texts_of: list[str] = []  # by code: ids joined by commas, decoded bytes
-        bytes_of: list[bytes] = []
+        encoder = _encoder(tokenizer, name, shared)
 
         def apply(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
             for codes in encoder.batch(text_bytes(batch)):
-                if len(encoder.ids) < len(texts_of):
-                    texts_of.clear()
-                    bytes_of.clear()
-                for ids in encoder.ids[len(texts_of) :]:
-                    texts_of.append(",".join(map(str, ids)))
-                    bytes_of.append(decode(ids, own.bytes))
+                texts_of, bytes_of = encoder.render()
                 decoded = b"".join(map(bytes_of.__getitem__, codes)).decode("utf-8", "replace")
                 joined = ",".join(filter(None, map(texts_of.__getitem__, codes)))
                 out["n_tokens"].append(joined.count(",") + 1 if joined else 0)
