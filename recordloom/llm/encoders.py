@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -85,3 +86,9 @@ class WordEncoder:
             self._missing(new)
         get = cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
+
+
+@functools.lru_cache(maxsize=1)
+def shared_encoder(name: str) -> WordEncoder:
+    """The worker's encoder, kept from task to task with its cache."""
+    return WordEncoder(name)

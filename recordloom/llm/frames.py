@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import bucket_of, map_arrow, order_buckets, shared_folder, shuffle_partitions, text_bytes
-from recordloom.llm.encoders import WordEncoder
+from recordloom.llm.encoders import shared_encoder
 
 SKIPPABLE_DOCS, SKIPPABLE_SEEK, SEEKABLE_MAGIC = 0x184D2A5C, 0x184D2A5E, 0x8F92EAB1
 DOC = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("first", "<u4"), ("n", "<u8")])
@@ -121,7 +121,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
     points = order_buckets(docs.select("doc_id"), "doc_id", buckets)
 
     def encode():
-        encoder, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = shared_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         packer = zstandard.ZstdCompressor(level=1)
 
         def apply(batch: pa.RecordBatch) -> dict:
