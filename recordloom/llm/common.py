@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -57,16 +58,24 @@ def map_arrow(df: DataFrame, per_slice: Callable[[], Callable[[pa.RecordBatch],
     struct = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
 
+    def batch_of(columns: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type) for c, f in ((columns[f.name], f) for f in arrow)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = per_slice()
-        for batch in batches:
-            for part in slices(batch, sized_by):
-                columns = apply(part)
-                if columns is not None:
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type) for c, f in ((columns[f.name], f) for f in arrow)], schema=arrow)
-        done = getattr(apply, "finish", None)
-        for columns in done() if done else ():
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+        # large caches without cycles: the collector would walk them again and again
+        gc.disable()
+        try:
+            apply = per_slice()
+            for batch in batches:
+                for part in slices(batch, sized_by):
+                    columns = apply(part)
+                    if columns is not None:
+                        yield batch_of(columns)
+            done = getattr(apply, "finish", None)
+            for columns in done() if done else ():
+                yield batch_of(columns)
+        finally:
+            gc.enable()
 
     return df.mapInArrow(run, struct)
 

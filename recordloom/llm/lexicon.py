@@ -307,76 +307,92 @@ def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
 
 
 class Encoder:
-    """Ids and decoded bytes of texts: words through the transducer, unknown ones by merging, each kept in a bounded cache."""
+    """Ids and decoded bytes of texts: words through the transducer, unknown ones by merging, each kept in a bounded cache.
 
-    def __init__(self, merges: Merges, lexicon: Transducer, cache_words: int = 300_000):
+    By a word's code, texts has its ids joined by commas and bytes what those ids decode to.
+    """
+
+    def __init__(self, merges: Merges, lexicon: Transducer, cache_words: int = 450_000):
         self.merges, self.lexicon, self.limit = merges, lexicon, cache_words
         self.codes: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
-        self.trails: dict[bytes, list[int]] = {}
-        self.texts: list[str] = []  # by code: ids joined by commas, and the bytes they decode to
+        self.texts: list[str] = []
         self.bytes: list[bytes] = []
+        self.trails: dict[bytes, tuple[str, bytes]] = {}
 
-    def render(self) -> tuple[list[str], list[bytes]]:
-        """texts and bytes of all codes, brought up to date."""
-        if len(self.ids) < len(self.texts):
-            self.texts.clear()
-            self.bytes.clear()
-        for ids in self.ids[len(self.texts) :]:
-            self.texts.append(",".join(map(str, ids)))
-            self.bytes.append(decode(ids, self.merges.bytes))
-        return self.texts, self.bytes
+    def _shown(self, ids: list[int]) -> tuple[str, bytes]:
+        return ",".join(map(str, ids)), decode(ids, self.merges.bytes)
 
     def _learn(self, words: list[bytes]) -> None:
-        """Ids of words, which stand without the blank before them.
+        """Take in words, which stand without the blank before them.
 
-        Where the lexicon lacks a word, marks that trail a letter are a token group apart; bare words merge together.
+        Where the lexicon lacks a word, single line ends within it and marks that trail a letter are token groups apart;
+        bare words merge together.
         """
         ranks = self.lexicon.find([b" " + w for w in words]).tolist()
         plain: dict[bytes, int] = {}
         parts: list = []
+        codes, texts, shown = self.codes, self.texts, self.bytes
         for word, rank in zip(words, ranks, strict=True):
             if rank >= 0:
-                parts.append(self.lexicon.ids_of(rank).tolist())
+                parts.append(self._shown(self.lexicon.ids_of(rank).tolist()))
                 continue
-            core = word.rstrip(TRAIL)
-            if core.isalpha() or core and (core[-1] > 127 or core[-1:].isalpha()) and core.decode("utf-8").isalpha():
-                parts.append((plain.setdefault(core, len(plain)), word[len(core) :]))
+            atoms, blank = [], True
+            for line in word.split(b"\n") if b"\n" in word else (word,):
+                core = line.rstrip(TRAIL)
+                if not core.isalpha() and not (core and (core[-1] > 127 or core[-1:].isalpha()) and core.decode("utf-8").isalpha()):
+                    break
+                trail = line[len(core) :]
+                if not blank:
+                    atoms.append(self._marks(b"\n"))
+                if blank and trail and core in codes:
+                    atoms.append((texts[codes[core]], shown[codes[core]]))
+                else:
+                    atoms.append(plain.setdefault(b" " + core if blank else core, len(plain)))
+                if trail:
+                    atoms.append(self._marks(trail))
+                blank = False
             else:
-                parts.append(self.merges.encode(" " + word.decode("utf-8")))
-        merged = self.merges.pieces([b" " + w for w in plain])
+                parts.append(atoms)
+                continue
+            parts.append(self._shown(self.merges.encode(" " + word.decode("utf-8"))))
+        merged = [self._shown(ids) for ids in self.merges.pieces(list(plain))]
         for word, part in zip(words, parts, strict=True):
-            if isinstance(part, tuple):
-                part = merged[part[0]] + self._marks(part[1]) if part[1] else merged[part[0]]
-            self.codes[word] = len(self.ids)
-            self.ids.append(part)
-
-    def _marks(self, trail: bytes) -> list[int]:
-        ids = self.trails.get(trail)
-        if ids is None:
-            ids = self.merges.encode(trail.decode())
+            if isinstance(part, list):
+                pairs = [merged[x] if isinstance(x, int) else x for x in part]
+                part = pairs[0] if len(pairs) == 1 else (",".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs]))
+            codes[word] = len(texts)
+            texts.append(part[0])
+            shown.append(part[1])
+
+    def _marks(self, trail: bytes) -> tuple[str, bytes]:
+        found = self.trails.get(trail)
+        if found is None:
+            found = self._shown(self.merges.encode(trail.decode()))
             if len(self.trails) < 10_000:
-                self.trails[trail] = ids
-        return ids
+                self.trails[trail] = found
+        return found
 
-    def batch(self, texts: list[bytes]) -> Iterator[list[int]]:
-        """For each text the codes of its words; self.ids has their ids. Codes hold until the next call."""
+    def batch(self, texts: list[bytes]) -> Iterator[tuple[str, bytes]]:
+        """For each text its ids, joined by commas, and the bytes they decode to."""
         special = [s.encode() for s in self.merges.special]
         split = [None if any(s in t for s in special) else words_of(t) for t in texts]
         new: set[bytes] = set()
         for words in split:
             new.update(set(words[1:] if words else ()).difference(self.codes))
-        if len(self.codes) + len(new) > self.limit or len(self.ids) > 2 * self.limit:
+        if len(self.codes) + len(new) > self.limit:
             self.codes.clear()
-            self.ids.clear()
+            self.texts.clear()
+            self.bytes.clear()
             new = {w for words in split for w in (words or ())[1:]}
         if new:
             self._learn(list(new))
-        get = self.codes.__getitem__
+        get, ids_of, bytes_of = self.codes.__getitem__, self.texts.__getitem__, self.bytes.__getitem__
         for text, words in zip(texts, split, strict=True):
             # a text's first word has no blank before it; a text with special tokens goes as one
-            self.ids.append(self.merges.encode((words[0] if words else text).decode("utf-8")))
-            yield [len(self.ids) - 1, *map(get, words[1:] if words else ())]
+            first = self._shown(self.merges.encode((words[0] if words else text).decode("utf-8")))
+            codes = list(map(get, words[1:])) if words else []
+            ids = [first[0], *map(ids_of, codes)] if first[0] else list(map(ids_of, codes))
+            yield ",".join(ids), first[1] + b"".join(map(bytes_of, codes))
 
 
 def decode(ids: list[int], table: dict[int, bytes]) -> bytes:
@@ -399,7 +415,7 @@ def _encoder(tokenizer: str, name: str, shared) -> Encoder:
     return _own[tokenizer, name]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", lexicon_words: int = 65_536, keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", lexicon_words: int = 131_072, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and the decoded text, of every whole text.
 
     The lexicon holds the lexicon_words most frequent words of the corpus, a few MB: the driver compiles it, Spark
@@ -417,15 +433,13 @@ def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", lexi
 
         def apply(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
-            for codes in encoder.batch(text_bytes(batch)):
-                texts_of, bytes_of = encoder.render()
-                decoded = b"".join(map(bytes_of.__getitem__, codes)).decode("utf-8", "replace")
-                joined = ",".join(filter(None, map(texts_of.__getitem__, codes)))
+            for joined, raw in encoder.batch(text_bytes(batch)):
+                decoded = raw.decode("utf-8", "replace")
                 out["n_tokens"].append(joined.count(",") + 1 if joined else 0)
                 out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
                 if keep_ids:
-                    out["ids"].append([i for c in codes for i in encoder.ids[c]])
+                    out["ids"].append([int(x) for x in joined.split(",")] if joined else [])
                     out["decoded"].append(decoded)
             return {"doc_id": batch.column("doc_id")} | out
 
