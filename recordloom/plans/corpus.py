@@ -48,7 +48,7 @@ def parse_program(text: str) -> list[tuple]:
     def flush() -> None:
         nonlocal stmt, buffer
         starts = [m.start() for m in _VERB.finditer(re.sub(r"\"[^\"]*\"|'[^']*'", lambda m: "_" * len(m[0]), buffer))]
-        for a, b in zip(starts, [*starts[1:], len(buffer)], strict=True):
+        for a, b in zip(starts, [*starts[1:], len(buffer)] if starts else [], strict=True):
             piece = " ".join(buffer[a:b].split())
             verb = piece.split()[0]
             m = {"CALL": r"CALL\s+[\"']?([\w-]+)", "PERFORM": r"PERFORM\s+(?!UNTIL|VARYING|\d)([\w-]+)", "GO": r"GO\s+(?:TO\s+)?([\w-]+)", "ALTER": r"TO\s+(?:PROCEED\s+TO\s+)?([\w-]+)"}.get(verb)

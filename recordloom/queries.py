@@ -1,11 +1,360 @@
-"""The registered queries and the SQL that must give the same rows."""
+"""The registered queries of the record engine and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from recordloom.functions import intrinsics, semantics, strings
+from recordloom.functions.semantics import coerce, pad
+from recordloom.operators import keyed, moves, reports, sorting, tables
+from recordloom.plans import sql_steps
+from recordloom.plans.expressions import also, compute, condition, condition_name, evaluate
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(sql: str | None, *decimals: str) -> Callable:
+    """Register a query with its SQL; exact DECIMAL columns, named here, come out as doubles on both sides."""
+
+    def add(run: Callable) -> Callable:
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = run(spark, sf_dir)
+            return out.withColumns({c: F.col(c).cast("double") for c in decimals}) if decimals else out
+
+        QUERIES[run.__name__] = query
+        if sql:
+            ORACLES[run.__name__] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in decimals)}) FROM ({sql})" if decimals else sql
+        return run
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def money(name: str) -> Column:
+    return F.col(name).cast("decimal(15,2)")
+
+
+def fields(df: DataFrame, *numbers: str) -> dict[str, Column]:
+    """Columns by COBOL names; the named ones as money."""
+    return {c.upper().replace("_", "-"): money(c) if c in numbers else F.col(c) for c in df.columns}
+
+
+@register("""
+SELECT c_mktsegment AS segment,
+       count(*) AS n_orders,
+       CAST(sum(CASE WHEN bal < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative,
+       CAST(sum(CASE WHEN bal >= 0 AND price > bal * 20 THEN 1 ELSE 0 END) AS BIGINT) AS n_over,
+       CAST(sum(CASE WHEN bal >= 0 AND price <= bal * 20 THEN 1 ELSE 0 END) AS BIGINT) AS n_normal,
+       CAST(sum(price) AS DECIMAL(25,2)) AS total_price,
+       CASE WHEN grouping(c_mktsegment) = 1 THEN 0 ELSE 1 END AS break_level
+FROM (SELECT c_mktsegment, CAST(c_acctbal AS DECIMAL(15,2)) AS bal, CAST(o_totalprice AS DECIMAL(15,2)) AS price
+      FROM orders JOIN customer ON o_custkey = c_custkey)
+GROUP BY ROLLUP (c_mktsegment)""", "total_price")
+def customer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", money("o_totalprice").alias("price"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), money("c_acctbal").alias("bal"))
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    names = {"BALANCE": F.col("bal"), "AMOUNT": F.col("price")}
+    kind = evaluate([(condition("BALANCE IS NEGATIVE", names), F.lit("N")), (condition("AMOUNT > BALANCE * 20", names), F.lit("O"))], F.lit("R"))
+    coded = rows.select("segment", "price", *[(kind == k).cast("bigint").alias(n) for n, k in (("is_n", "N"), ("is_o", "O"), ("is_r", "R"))])
+    out = reports.footings(coded, reports.Report(["segment"], {"n_negative": "is_n", "n_over": "is_o", "n_normal": "is_r", "total_price": "price"}))
+    return out.select("segment", F.col("n_details").alias("n_orders"), "n_negative", "n_over", "n_normal", "total_price", "break_level")
+
+
+@register("SELECT o_orderkey, CAST(floor((CAST(o_totalprice AS DECIMAL(15,2)) % 10000) * 10) / 10 AS DECIMAL(6,1)) AS moved FROM orders", "moved")
+def move_truncate(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", coerce(money("o_totalprice"), 4, 1).alias("moved"))
+
+
+@register("SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_discount AS DECIMAL(15,2)), 2) AS DECIMAL(12,2)) AS amount FROM lineitem", "amount")
+def compute_rounded(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    return df.select("l_orderkey", "l_linenumber", coerce(compute("L-EXTENDEDPRICE * L-DISCOUNT", fields(df, "l_extendedprice", "l_discount")), 9, 2, rounded=True).alias("amount"))
+
+
+@register("SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT) AS unit_cents FROM lineitem")
+def divide_truncate(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    unit = coerce(semantics.divide(money("l_extendedprice"), F.col("l_quantity"), F.lit(0)), 9, 2)
+    return df.select("l_orderkey", "l_linenumber", (unit * 100).cast("bigint").alias("unit_cents"))
+
+
+@register("SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) // (o_custkey + 1) AS quotient, CAST(floor(o_totalprice) AS BIGINT) % (o_custkey + 1) AS remainder FROM orders")
+def divide_remainder(spark, sf_dir):
+    whole = F.floor("o_totalprice").cast("bigint")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr("cast(floor(o_totalprice) as bigint) div (o_custkey + 1)").alias("quotient"), intrinsics.intrinsic("REM", whole, F.col("o_custkey") + 1).alias("remainder"))
+
+
+@register("""SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) + CAST(l_tax AS DECIMAL(15,2)) + CAST(l_quantity AS DECIMAL(15,2)) AS DECIMAL(12,2)) AS added,
+ CAST(CAST(l_extendedprice AS DECIMAL(15,2)) - CAST(l_quantity AS DECIMAL(15,2)) AS DECIMAL(12,2)) AS subtracted,
+ CAST(floor(CAST(l_quantity AS DECIMAL(15,2)) * CAST(l_tax AS DECIMAL(15,2)) * 100) / 100 AS DECIMAL(12,2)) AS multiplied FROM lineitem""", "added", "subtracted", "multiplied")
+def arithmetic_giving(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    f = fields(df, "l_extendedprice", "l_tax", "l_quantity")
+    return df.select("l_orderkey", "l_linenumber", coerce(compute("L-EXTENDEDPRICE + L-TAX + L-QUANTITY", f), 9, 2, signed=True).alias("added"), coerce(compute("L-EXTENDEDPRICE - L-QUANTITY", f), 9, 2, signed=True).alias("subtracted"), coerce(compute("L-QUANTITY * L-TAX", f), 9, 2).alias("multiplied"))
+
+
+@register("SELECT o_orderkey, abs(CAST(o_totalprice AS DECIMAL(15,2))) >= 100000 AS overflow FROM orders")
+def size_error_flag(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", semantics.size_error(money("o_totalprice"), 5).alias("overflow"))
+
+
+@register("SELECT l_orderkey, l_linenumber, l_partkey + l_suppkey AS a, l_linenumber + l_linenumber AS b FROM lineitem")
+def corresponding_add(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct(F.col("l_partkey").alias("A"), F.col("l_linenumber").alias("B"), F.lit(1).alias("C")).alias("g1"), F.struct(F.col("l_suppkey").alias("A"), F.col("l_linenumber").alias("B")).alias("g2"))
+    return moves.add_corresponding(df, "g1", "g2").select("l_orderkey", "l_linenumber", F.col("g2.A").alias("a"), F.col("g2.B").alias("b"))
+
+
+@register("SELECT o_orderkey FROM orders WHERE (CAST(o_totalprice AS DECIMAL(15,2)) > 100000 AND o_orderstatus = 'O') OR NOT (o_custkey >= 100)")
+def filter_compound(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    return df.where(condition("(O-TOTALPRICE > 100000 AND O-ORDERSTATUS = 'O') OR NOT O-CUSTKEY IS GREATER THAN OR EQUAL TO 100", fields(df, "o_totalprice"))).select("o_orderkey")
+
+
+@register("SELECT p_partkey FROM part WHERE p_size > 10 AND p_size < 30 OR p_size = 45 OR p_size = 50")
+def filter_abbreviated(spark, sf_dir):
+    df = table(spark, sf_dir, "part")
+    return df.where(condition("P-SIZE > 10 AND < 30 OR P-SIZE = 45 OR 50", fields(df))).select("p_partkey")
+
+
+@register("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND (CAST(o_totalprice AS DECIMAL(15,2)) BETWEEN 1000 AND 50000 OR CAST(o_totalprice AS DECIMAL(15,2)) BETWEEN 200000 AND 300000)")
+def filter_88(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    names = {"CLOSED": condition_name(F.col("o_orderstatus"), [("F", None), ("P", None)]), "NOTABLE": condition_name(money("o_totalprice"), [(1000, 50000), (200000, 300000)], numeric=True)}
+    return df.where(condition("CLOSED AND NOTABLE", fields(df), names)).select("o_orderkey")
+
+
+@register("SELECT c_custkey, regexp_matches(substr(c_name, 10), '^[0-9]+$') AS is_num, c_acctbal > 0 AS pos, c_acctbal < 0 AS neg, regexp_matches(c_mktsegment, '^[A-Za-z ]+$') AS alpha FROM customer")
+def class_and_sign(spark, sf_dir):
+    df = table(spark, sf_dir, "customer")
+    f = fields(df, "c_acctbal")
+    return df.select("c_custkey", condition("C-NAME(10:) IS NUMERIC", f).alias("is_num"), condition("C-ACCTBAL IS POSITIVE", f).alias("pos"), condition("C-ACCTBAL NEGATIVE", f).alias("neg"), condition("C-MKTSEGMENT IS ALPHABETIC", f).alias("alpha"))
+
+
+@register("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'A' WHEN o_totalprice > 100000 OR o_orderstatus = 'P' THEN 'B' ELSE 'C' END AS grade FROM orders")
+def evaluate_true(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    f = fields(df, "o_totalprice")
+    return df.select("o_orderkey", evaluate([(condition("O-TOTALPRICE > 200000", f), F.lit("A")), (condition("O-TOTALPRICE > 100000 OR O-ORDERSTATUS = 'P'", f), F.lit("B"))], F.lit("C")).alias("grade"))
+
+
+@register("SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 10 THEN 'S' WHEN p_size BETWEEN 11 AND 30 THEN 'M' ELSE 'L' END AS class FROM part")
+def evaluate_thru(spark, sf_dir):
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", evaluate([(also((size, (1, 10))), F.lit("S")), (also((size, (11, 30))), F.lit("M"))], F.lit("L")).alias("class"))
+
+
+@register("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag IN ('A', 'N') AND l_linestatus = 'F' THEN 2 WHEN l_linenumber BETWEEN 1 AND 2 THEN 3 ELSE 0 END AS code FROM lineitem")
+def evaluate_also(spark, sf_dir):
+    flag, status, number = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
+    cases = [(also((flag, "R"), (status, None)), F.lit(1)), (also((flag, ["A", "N"]), (status, "F")), F.lit(2)), (also((flag, None), (number, (1, 2))), F.lit(3))]
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", evaluate(cases, F.lit(0)).alias("code"))
+
+
+@register("SELECT n_nationkey, rpad(n_name, 12, ' ') || rpad(CAST(n_regionkey AS VARCHAR), 3, ' ') AS grp, substr(rpad(n_name, 12, ' ') || rpad(CAST(n_regionkey AS VARCHAR), 3, ' '), 1, 5) AS head, substr(rpad(n_name, 12, ' ') || rpad(CAST(n_regionkey AS VARCHAR), 3, ' '), 6, 10) AS tail FROM nation")
+def group_move(spark, sf_dir):
+    grp = moves.group([(F.col("n_name"), 12), (F.col("n_regionkey"), 3)])
+    head, tail = moves.spread(grp, [5, 10])
+    return table(spark, sf_dir, "nation").select("n_nationkey", grp.alias("grp"), head.alias("head"), tail.alias("tail"))
+
+
+@register("SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y') AS INTEGER) AS year, CAST(strftime(o_orderdate, '%m') AS INTEGER) AS month, CAST(strftime(o_orderdate, '%d') AS INTEGER) AS day FROM orders")
+def redefines_slice(spark, sf_dir):
+    base = semantics.zoned(F.date_format("o_orderdate", "yyyyMMdd"), 8)
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[F.substring(base, a, n).cast("int").alias(c) for c, a, n in (("year", 1, 4), ("month", 5, 2), ("day", 7, 2))])
+
+
+@register("SELECT p_partkey, 7 AS p_size, 'N/A' AS p_brand, p_type FROM part")
+def initialize_replacing(spark, sf_dir):
+    return moves.initialize(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type"), 7, "N/A", ["p_size", "p_brand"])
+
+
+@register("SELECT n_nationkey, 'ABABA' AS filled, substr(n_name, 1, 3) AS first3, length(n_name) AS len FROM nation")
+def move_all_refmod(spark, sf_dir):
+    df = table(spark, sf_dir, "nation")
+    f = fields(df)
+    return df.select("n_nationkey", moves.move_all("AB", 5).alias("filled"), compute("N-NAME(1:3)", f).alias("first3"), compute("LENGTH OF N-NAME", f).cast("bigint").alias("len"))
+
+
+@register("SELECT vec_id, len(embedding) AS size, CAST(embedding[2] AS DOUBLE) AS second, coalesce(list_position(list_transform(embedding, lambda x: x > 0), true), 0) AS first_positive FROM embeddings")
+def table_search(spark, sf_dir):
+    e = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(e).cast("bigint").alias("size"), F.element_at(e, 2).cast("double").alias("second"), tables.search(e, lambda x: x > 0).alias("first_positive"))
+
+
+@register("SELECT c_custkey, n_name, n_name IS NOT NULL AS found FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
+def search_all(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").where("n_nationkey < 20").select("n_nationkey", "n_name")
+    probes = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    return tables.search_all(probes, nation, "n_nationkey").select("c_custkey", "n_name", "found")
+
+
+def _file(spark, sf_dir, where: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where(where).select(F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("record_key"), F.col("o_orderstatus").alias("record_data"))
+
+
+@register("SELECT lpad(CAST(a.o_orderkey AS VARCHAR), 9, '0') AS record_key, CASE WHEN a.o_orderkey % 2 = 0 THEN a.o_orderstatus END AS record_data, CASE WHEN a.o_orderkey % 2 = 0 THEN '00' ELSE '23' END AS status FROM orders a")
+def read_random_key(spark, sf_dir):
+    probes = _file(spark, sf_dir, "true").select("record_key")
+    return keyed.read_keys(probes, _file(spark, sf_dir, "o_orderkey % 2 = 0"), "record_key")
+
+
+@register("SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS record_key, o_orderstatus AS record_data FROM orders WHERE lpad(CAST(o_orderkey AS VARCHAR), 9, '0') >= '000000500'")
+def start_not_less(spark, sf_dir):
+    return keyed.start(_file(spark, sf_dir, "true"), "record_key", ">=", F.lit("000000500"))
+
+
+@register("SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS record_key, o_orderstatus AS record_data FROM orders WHERE lpad(CAST(o_orderkey AS VARCHAR), 9, '0') >= (SELECT max(lpad(CAST(o_orderkey AS VARCHAR), 9, '0')) FROM orders WHERE lpad(CAST(o_orderkey AS VARCHAR), 9, '0') < '000000500')")
+def start_less(spark, sf_dir):
+    return keyed.start(_file(spark, sf_dir, "true"), "record_key", "<", F.lit("000000500"))
+
+
+@register("SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS record_key, CASE WHEN o_orderkey % 3 = 0 THEN '22' ELSE '00' END AS status FROM orders")
+def write_duplicate_22(spark, sf_dir):
+    return keyed.write(_file(spark, sf_dir, "o_orderkey % 3 = 0"), _file(spark, sf_dir, "true"), "record_key")[1]
+
+
+@register("SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS record_key, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS record_data FROM orders")
+def rewrite_upsert(spark, sf_dir):
+    changed = _file(spark, sf_dir, "o_orderkey % 5 = 0").withColumn("record_data", F.lit("X"))
+    return keyed.rewrite(_file(spark, sf_dir, "true"), changed, "record_key")[0]
+
+
+@register("SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS record_key, o_orderstatus AS record_data FROM orders WHERE o_orderkey % 4 <> 0")
+def delete_keyed(spark, sf_dir):
+    return keyed.delete(_file(spark, sf_dir, "true"), _file(spark, sf_dir, "o_orderkey % 4 = 0"), "record_key")[0]
+
+
+def _ranked(df: DataFrame, key: str, order: list[Column], partition: str) -> DataFrame:
+    return df.select(partition, key, F.row_number().over(Window.partitionBy(partition).orderBy(*order)).cast("bigint").alias("rank"))
+
+
+@register("SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size ASC, p_type DESC, p_partkey) AS rank FROM part")
+def sort_asc_desc(spark, sf_dir):
+    return _ranked(table(spark, sf_dir, "part"), "p_partkey", [*sorting.sort_keys([(F.col("p_size"), True), (F.col("p_type"), False)]), F.col("p_partkey").asc()], "p_brand")
+
+
+@register("SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY translate(n_name, 'ZYXWVUTSRQPONMLKJIHGFEDCBA', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), n_nationkey) AS rank FROM nation")
+def sort_custom_alphabet(spark, sf_dir):
+    return _ranked(table(spark, sf_dir, "nation"), "n_nationkey", [*sorting.sort_keys([(F.col("n_name"), True)], "ZYXWVUTSRQPONMLKJIHGFEDCBA"), F.col("n_nationkey").asc()], "n_regionkey")
+
+
+@register("SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY translate(c_mktsegment || substr(c_name, 15), '0123456789', '~~~~~~~~~~') , c_custkey) AS rank FROM customer")
+def sort_ebcdic(spark, sf_dir):
+    # digits follow letters in EBCDIC; equal digits leave the order to the key
+    text = F.concat(F.col("c_mktsegment"), F.translate(F.expr("substr(c_name, 15)"), "0123456789", "9999999999"))
+    return _ranked(table(spark, sf_dir, "customer"), "c_custkey", [*sorting.sort_keys([(text, True)], "EBCDIC"), F.col("c_custkey").asc()], "c_nationkey")
+
+
+@register("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(15,2)) AS price FROM orders ORDER BY CAST(o_totalprice AS DECIMAL(15,2)) DESC, o_orderkey LIMIT 10", "price")
+def sort_topk(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", money("o_totalprice").alias("price"))
+    return sorting.sort(df, [(F.col("price"), False)], ordinal="o_orderkey").limit(10)
+
+
+@register("SELECT nation, key, row_number() OVER (PARTITION BY nation ORDER BY bal DESC, source, key) AS rank FROM (SELECT c_nationkey AS nation, c_custkey AS key, CAST(c_acctbal AS DECIMAL(15,2)) AS bal, 0 AS source FROM customer UNION ALL SELECT s_nationkey, s_suppkey, CAST(s_acctbal AS DECIMAL(15,2)), 1 FROM supplier)")
+def merge_two_files(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("key"), money("c_acctbal").alias("bal"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("key"), money("s_acctbal").alias("bal"))
+    merged = sorting.merge([a, b], [(F.col("bal"), False)], ordinal="key")
+    return _ranked(merged, "key", [F.col("bal").desc(), F.col("_input").asc(), F.col("key").asc()], "nation")
+
+
+@register("""SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DECIMAL(25,2)) AS total, count(*) AS n_details,
+ CASE WHEN grouping(l_returnflag) = 1 THEN 0 WHEN grouping(l_linestatus) = 1 THEN 1 ELSE 2 END AS break_level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""", "total")
+def report_control_break(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", money("l_extendedprice").alias("price"))
+    return reports.footings(df, reports.Report(["l_returnflag", "l_linestatus"], {"total": "price"}))
+
+
+@register("""SELECT o_orderkey, o_custkey, CASE WHEN rn = 1 OR before IS DISTINCT FROM o_orderstatus THEN 1 ELSE 0 END AS break_control, CAST((rn - 1) // 5 + 1 AS INTEGER) AS page, CAST((rn - 1) % 5 + 1 AS INTEGER) AS line
+ FROM (SELECT *, row_number() OVER w AS rn, lag(o_orderstatus) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))""")
+def report_pages(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return reports.breaks(df, reports.Report(["o_orderstatus"], {}, page=5), ["o_orderkey"], ["o_custkey"]).select("o_orderkey", "o_custkey", "break_control", "page", "line")
+
+
+@register("SELECT n_nationkey, rtrim(rpad(CAST(n_nationkey AS VARCHAR), 4, ' ') || rpad(n_name, 20, ' ') || CAST(n_regionkey AS VARCHAR)) AS line FROM nation")
+def report_line(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", reports.line([(1, F.col("n_nationkey").cast("string")), (5, pad(F.col("n_name"), 20)), (25, F.col("n_regionkey").cast("string"))], 40).alias("line"))
+
+
+@register("""SELECT o_orderkey, CAST(date_diff('day', DATE '1601-01-01', CAST(o_orderdate AS DATE)) + 1 AS INTEGER) AS serial, strftime(o_orderdate, '%Y%j') AS julian,
+ upper(o_orderpriority) AS up, lower(o_orderpriority) AS low, reverse(o_orderpriority) AS back, length(o_orderpriority) AS len, o_orderkey % 7 AS rem7,
+ greatest(o_orderkey, o_custkey) AS hi, least(o_orderkey, o_custkey) AS lo, (o_orderkey + o_custkey + 3) AS total, o_orderkey & 12 AS bits FROM orders""")
+def intrinsic_functions(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").withColumn("ymd", F.date_format("o_orderdate", "yyyyMMdd"))
+    f = fields(df)
+    serial = compute("FUNCTION INTEGER-OF-DATE(YMD)", f)
+    texts = {"up": "UPPER-CASE", "low": "LOWER-CASE", "back": "REVERSE"}
+    return df.select("o_orderkey", serial.alias("serial"), intrinsics.intrinsic("DAY-OF-INTEGER", serial).alias("julian"), *[compute(f"FUNCTION {n}(O-ORDERPRIORITY)", f).alias(k) for k, n in texts.items()], compute("FUNCTION LENGTH(O-ORDERPRIORITY)", f).cast("bigint").alias("len"), compute("FUNCTION MOD(O-ORDERKEY 7)", f).alias("rem7"), compute("FUNCTION MAX(O-ORDERKEY, O-CUSTKEY)", f).alias("hi"), compute("FUNCTION MIN(O-ORDERKEY, O-CUSTKEY)", f).alias("lo"), compute("FUNCTION SUM(O-ORDERKEY, O-CUSTKEY, 3)", f).alias("total"), compute("O-ORDERKEY B-AND 12", f).alias("bits"))
+
+
+@register("""SELECT p_partkey, round(sqrt(CAST(p_size AS DOUBLE)), 6) AS root, round(ln(p_size + 1.0), 6) AS log, round((p_size + 3 + 8) / 3.0, 6) AS mean,
+ round(list_aggregate([CAST(p_size AS DOUBLE), 3.0, 8.0], 'median'), 6) AS median, round(sqrt(list_aggregate([CAST(p_size AS DOUBLE), 3.0, 8.0], 'var_samp')), 6) AS dev FROM part""")
+def intrinsic_statistics(spark, sf_dir):
+    df = table(spark, sf_dir, "part")
+    f = fields(df)
+    spec = {"root": "SQRT(P-SIZE)", "log": "LOG(P-SIZE + 1)", "mean": "MEAN(P-SIZE 3 8)", "median": "MEDIAN(P-SIZE 3 8)", "dev": "STANDARD-DEVIATION(P-SIZE 3 8)"}
+    return df.select("p_partkey", *[F.round(compute(f"FUNCTION {t}", f), 6).alias(k) for k, t in spec.items()])
+
+
+@register("SELECT p_partkey, rpad(split_part(p_type, ' ', 1) || '/' || p_brand, 30, ' ') AS joined FROM part")
+def string_delimited(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", strings.string([(F.col("p_type"), " "), (F.lit("/"), None), (F.col("p_brand"), None)], 30).alias("joined"))
+
+
+@register("SELECT c_custkey, rpad(split_part(c_name, '#', 1), 12, ' ') AS part1, rpad(split_part(c_name, '#', 2), 12, ' ') AS part2, len(string_split(c_name, '#')) AS n_parts FROM customer")
+def unstring_fields(spark, sf_dir):
+    name = F.col("c_name")
+    return table(spark, sf_dir, "customer").select("c_custkey", strings.unstring(name, ["#"], 1, 12).alias("part1"), strings.unstring(name, ["#"], 2, 12).alias("part2"), F.size(strings.parts(name, ["#"])).cast("bigint").alias("n_parts"))
+
+
+@register("""SELECT p_partkey, CAST(length(p_name) - length(replace(p_name, 'e', '')) AS INTEGER) AS n_e, replace(p_name, 'a', 'X') AS replaced, regexp_replace(p_name, 'a', 'X') AS first_only,
+ translate(p_name, 'abc', 'xyz') AS converted, CASE WHEN position(' ' IN p_name) > 0 THEN substr(p_name, 1, position(' ' IN p_name) - 1) ELSE p_name END AS head FROM part""")
+def inspect_verbs(spark, sf_dir):
+    n = F.col("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", strings.tally_all(n, "e").alias("n_e"), strings.replace_all(n, "a", "X").alias("replaced"), strings.replace_first(n, "a", "X").alias("first_only"), strings.converting(n, "abc", "xyz").alias("converted"), strings.region(n, before=" ")[1].alias("head"))
+
+
+@register("SELECT n_nationkey, '{\"N_NAME\":\"' || n_name || '\",\"N_REGIONKEY\":\"' || CAST(n_regionkey AS VARCHAR) || '\"}' AS json FROM nation")
+def json_generate(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("N_NAME"), F.col("n_regionkey").cast("string").alias("N_REGIONKEY"))).alias("json"))
+
+
+@register("SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DECIMAL(25,2)) AS total FROM orders WHERE o_custkey > 50 GROUP BY o_custkey", "total")
+def sql_cursor(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders_file")
+    return sql_steps.run(spark, "EXEC SQL SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DECIMAL(25,2)) AS total FROM orders_file WHERE o_custkey > :WS-LOW GROUP BY o_custkey END-EXEC", {"WS-LOW": 50})
+
+
+@register("SELECT l_orderkey, CAST(sum(CAST(l_quantity AS DECIMAL(15,2))) % 1000 AS DECIMAL(7,2)) AS total, count(*) AS n FROM lineitem GROUP BY l_orderkey", "total")
+def accumulate_total(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(coerce(F.sum(money("l_quantity")), 3, 2).alias("total").cast("decimal(7,2)").alias("total"), F.count("*").alias("n"))
+
+
+@register("SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def line_statistics(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@register("SELECT event_id, event_type, CASE WHEN regexp_matches(upper(event_type), 'SSN|SOCIAL-SEC|SOC-SEC') THEN 'HIGH' WHEN regexp_matches(upper(event_type), 'NAME') THEN 'LOW' END AS level FROM events")
+def sensitivity_scan(spark, sf_dir):
+    from recordloom.plans.corpus import SENSITIVE, sensitivity
+
+    return table(spark, sf_dir, "events").select("event_id", "event_type", sensitivity(F.col("event_type"), [SENSITIVE[0], SENSITIVE[-1]]).alias("level"))
