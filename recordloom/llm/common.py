@@ -76,6 +76,7 @@ def map_arrow(df: DataFrame, per_slice: Callable[[], Callable[[pa.RecordBatch],
                 yield batch_of(columns)
         finally:
             gc.enable()
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, struct)
 
