@@ -23,7 +23,7 @@ class WordEncoder:
     together, parted by a separator that none of them holds; marks that trail a word are looked up apart.
     """
 
-    def __init__(self, name: str, cache_words: int = 600_000, separator: str = "|"):
+    def __init__(self, name: str, cache_words: int = 1_000_000, separator: str = "|"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

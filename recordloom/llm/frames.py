@@ -37,7 +37,7 @@ def open_folder(url: str) -> tuple[fs.FileSystem, str]:
 class FrameWriter:
     """Writes one file. Documents gather in a frame until it has frame_tokens tokens; a longer one has its own."""
 
-    def __init__(self, out, frame_tokens: int = 32_768, level: int = 3):
+    def __init__(self, out, frame_tokens: int = 32_768, level: int = 1):
         self.out, self.most = out, 4 * frame_tokens
         self.packer = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.held: list[bytes] = []
