@@ -53,8 +53,11 @@ def slices(batch: pa.RecordBatch, column: str | None = None) -> Iterator[pa.Reco
         yield batch.slice(at, step)
 
 
-def map_arrow(df: DataFrame, per_slice: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType, sized_by: str | None = None) -> DataFrame:
-    """mapInArrow over bounded slices. per_slice makes, once a task, the function from a slice to columns."""
+def map_arrow(df: DataFrame, per_slice: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType, sized_by: str | None = None, quiet: bool = False) -> DataFrame:
+    """mapInArrow over bounded slices. per_slice makes, once a task, the function from a slice to columns.
+
+    quiet: no cycle collector while a task runs, for functions with large caches and no cycles.
+    """
     struct = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
 
@@ -62,8 +65,8 @@ def map_arrow(df: DataFrame, per_slice: Callable[[], Callable[[pa.RecordBatch],
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type) for c, f in ((columns[f.name], f) for f in arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # large caches without cycles: the collector would walk them again and again
-        gc.disable()
+        if quiet:
+            gc.disable()
         try:
             apply = per_slice()
             for batch in batches:

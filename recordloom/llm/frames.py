@@ -161,7 +161,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
         return apply
 
     keyed = docs.select(bucket_of(F.col("doc_id"), points).cast("int").alias("bucket"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    encoded = map_arrow(keyed, encode, "bucket int, doc_id bigint, ids binary", "text")
+    encoded = map_arrow(keyed, encode, "bucket int, doc_id bigint, ids binary", "text", quiet=True)
     sorted_rows = encoded.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
     return sorted(map_arrow(sorted_rows, write, "bucket int, path string, docs bigint, tokens bigint", "ids").collect(), key=lambda r: r["bucket"])
 

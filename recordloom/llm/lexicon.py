@@ -302,7 +302,7 @@ def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
         apply.finish = finish
         return apply
 
-    counts = map_arrow(docs.select("text"), per_slice, "word binary, n bigint", "text").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = map_arrow(docs.select("text"), per_slice, "word binary, n bigint", "text", quiet=True).groupBy("word").agg(F.sum("n").alias("n"))
     return [b" " + w for w in counts.orderBy(F.desc("n"), "word").limit(most).toArrow()["word"].to_pylist()]
 
 
@@ -445,4 +445,4 @@ def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", lexi
 
         return apply
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), per_slice, schema, "text")
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), per_slice, schema, "text", quiet=True)

@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
 
         return apply
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), per_slice, schema, "text")
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), per_slice, schema, "text", quiet=True)
 
 
 def best_fit(histogram: dict[int, int], bin: Bin = Bin(), weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), rule: str = "residual_norm") -> np.ndarray:
