@@ -46,3 +46,11 @@ def line(columns: list[tuple[int, Column]], width: int) -> Column:
     for at, value in columns:
         out = F.overlay(out, value, F.lit(at))
     return F.rtrim(out.substr(1, width))
+
+
+def indicate(value: Column, control: str = "break_control", line: str | None = None) -> Column:
+    """GROUP INDICATE over what `breaks` gives: the value on the first line after a break, or of a page if `line` is named; else blank."""
+    first = F.col(control) > 0
+    if line is not None:
+        first = first | (F.col(line) == 1)
+    return F.when(first, value.cast("string")).otherwise("")

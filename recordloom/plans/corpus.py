@@ -9,12 +9,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Name patterns that mark sensitive items, in order of severity.
+#: Name patterns that mark sensitive items, in order of precedence.
 SENSITIVE = [
-    ("SSN|SOCIAL-SEC|SOC-SEC", "HIGH"), ("TAX-ID|TIN\\b", "HIGH"), ("PASSWORD|PASSWD|PIN\\b", "HIGH"), ("CREDIT-CARD|CARD-NUM", "HIGH"), ("PASSPORT", "HIGH"),
-    ("ACCOUNT|ACCT", "MEDIUM"), ("SALARY|WAGE|INCOME", "MEDIUM"), ("BIRTH|DOB", "MEDIUM"), ("PHONE|EMAIL", "MEDIUM"), ("BALANCE|CREDIT", "MEDIUM"),
-    ("ADDRESS|ADDR|ZIP", "LOW"), ("NAME", "LOW"),
+    ("(^|-)SSN(-|$)", "HIGH"), ("(^|-)SOCIAL-SEC", "HIGH"), ("(^|-)TAX-ID(-|$)", "HIGH"), ("(^|-)DOB(-|$)", "HIGH"), ("(^|-)BIRTH(-|$)", "HIGH"), ("PASSWORD", "HIGH"), ("(^|-)PIN(-|$)", "HIGH"),
+    ("ACCOUNT", "MEDIUM"), ("BALANCE", "MEDIUM"), ("SALARY", "MEDIUM"), ("(^|-)WAGE(-|$)", "MEDIUM"), ("CREDIT", "MEDIUM"), ("PAYMENT", "MEDIUM"),
+    ("^CUST-", "LOW"), ("^EMP-", "LOW"), ("ADDR", "LOW"), ("PHONE", "LOW"), ("EMAIL", "LOW"),
 ]
+#: Names that are never sensitive.
+EXCLUDED = ("WS-EOF", "WS-ERROR", "FILLER")
+#: Categories of open points and the words that mark them, in order of precedence.
+CATEGORIES = {
+    "DB2 / SQL": ("SQL", "CURSOR", "FETCH", "SQLCODE", "COMMIT", "ROLLBACK", "DB-API"),
+    "CICS": ("CICS", "MAP", "TRANSID", "COMMAREA", "BMS", "FLASK", "EIBTRNID"),
+    "DLI / IMS": ("DLI", "IMS", "CBLTDLI", "AIBTDLI", "PCB", "SSA", "SEGMENT"),
+    "File I/O": ("READ", "WRITE", "OPEN", "CLOSE", "FILE", "REWRITE", "DELETE", "START"),
+    "External CALL": ("CALL", "IMPLEMENT OR IMPORT", "ENTRY"),
+    "Control Flow": ("PERFORM", "GO TO", "IF", "EVALUATE", "ALTER", "THRU"),
+    "String Ops": ("STRING", "UNSTRING", "INSPECT", "POINTER"),
+    "Data / MOVE": ("MOVE", "CORRESPONDING", "GROUP", "REDEFINES"),
+    "Arithmetic": ("COMPUTE", "ADD", "SUBTRACT", "DIVIDE", "MULTIPLY", "SIZE ERROR"),
+}
 _VERBS = "ACCEPT ADD ALTER CALL CANCEL CLOSE COMPUTE CONTINUE DELETE DISPLAY DIVIDE EVALUATE EXEC EXIT GENERATE GO GOBACK IF INITIALIZE INITIATE INSPECT MERGE MOVE MULTIPLY OPEN PERFORM READ RELEASE RETURN REWRITE SEARCH SET SORT START STOP STRING SUBTRACT TERMINATE UNSTRING WRITE".split()
 _VERB = re.compile(r"(?<![\w-])(" + "|".join(_VERBS) + r")(?![\w-])")
 FACTS = "path string, program string, paragraph string, par_no int, stmt_no int, verb string, target string, text string"
@@ -86,12 +100,54 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInPandas(parse, FACTS)
 
 
-def sensitivity(name: Column, patterns: list[tuple[str, str]] | None = None) -> Column:
-    """Level of the first pattern that a name matches, or null."""
-    out = None
+def sensitivity(name: Column, patterns: list[tuple[str, str]] | None = None, excluded: tuple[str, ...] = EXCLUDED) -> Column:
+    """Level of the first pattern that a name matches; null for other and for excluded names."""
+    upper = F.upper(name)
+    out = F.when(upper.isin(*excluded), F.lit(None).cast("string")) if excluded else F.when(F.lit(False), "")
     for pattern, level in patterns or SENSITIVE:
-        test = F.upper(name).rlike(pattern)
-        out = F.when(test, level) if out is None else out.when(test, level)
+        out = out.when(upper.rlike(pattern), level)
+    return out
+
+
+def category(text: Column) -> Column:
+    """The first category one of whose words a text contains, or Other."""
+    out, upper = F.when(F.lit(False), ""), F.upper(text)
+    for name, words in CATEGORIES.items():
+        hit = upper.contains(words[0])
+        for w in words[1:]:
+            hit = hit | upper.contains(w)
+        out = out.when(hit, name)
+    return out.otherwise("Other")
+
+
+def triage(points: DataFrame) -> DataFrame:
+    """category, n and percent of all, from open points with `text`."""
+    counts = points.select(category(F.col("text")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    return counts.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 1))  # a row for each category
+
+
+def triage_programs(programs: DataFrame, points: DataFrame) -> DataFrame:
+    """Every program with its number of open points, and whether it is clean."""
+    counts = points.groupBy("program").agg(F.count("*").alias("n"))
+    return programs.select("program").distinct().join(counts, "program", "left").select("program", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("clean"))
+
+
+def line_counts(sources: DataFrame) -> DataFrame:
+    """program and its total, code, comment and blank lines, from (program, line, free): one row a source line, free format or not."""
+    blank = F.trim(F.regexp_replace("line", "\\s", " ")) == ""
+    comment = ~blank & F.when(F.col("free"), F.ltrim("line").startswith("*>")).otherwise(F.substring("line", 7, 1).isin("*", "/"))
+    return sources.groupBy("program").agg(F.count("*").alias("total"), F.count_if(~blank & ~comment).alias("code"), F.count_if(comment).alias("comments"), F.count_if(blank).alias("blanks"))
+
+
+def warnings(statements: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(program, warning): jumps, altered jumps, copybooks that weren't found, unreached paragraphs, and highly sensitive items (program, name)."""
+    where = F.col("paragraph")
+    text = F.when(F.col("verb") == "GO", F.concat(F.lit("GO TO in "), where)).when(F.col("verb") == "ALTER", F.concat(F.lit("ALTER in "), where)).when(F.col("verb") == "COPY", F.concat(F.lit("COPY in "), where))
+    out = statements.select("program", text.alias("warning")).where("warning is not null")
+    out = out.unionByName(flow(statements)[1].select("program", F.concat(F.lit("Unreachable paragraph: "), where).alias("warning")))
+    if items is not None:
+        high = items.where(sensitivity(F.col("name")) == "HIGH").groupBy("program").agg(F.count("*").alias("n"))
+        out = out.unionByName(high.select("program", F.concat(F.col("n").cast("string"), F.lit(" highly sensitive items")).alias("warning")))
     return out
 
 

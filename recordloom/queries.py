@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.functions import intrinsics, semantics, strings
+from recordloom.functions import documents, intrinsics, semantics, strings
 from recordloom.functions.semantics import coerce, pad
-from recordloom.operators import keyed, moves, reports, sorting, tables
-from recordloom.plans import sql_steps
+from recordloom.operators import keyed, loops, moves, reports, segments, sorting, tables
+from recordloom.plans import corpus, sql_steps
 from recordloom.plans.expressions import also, compute, condition, condition_name, evaluate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -353,8 +353,83 @@ def line_statistics(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@register("SELECT event_id, event_type, CASE WHEN regexp_matches(upper(event_type), 'SSN|SOCIAL-SEC|SOC-SEC') THEN 'HIGH' WHEN regexp_matches(upper(event_type), 'NAME') THEN 'LOW' END AS level FROM events")
-def sensitivity_scan(spark, sf_dir):
-    from recordloom.plans.corpus import SENSITIVE, sensitivity
+#: Names and notes that rows of part are given in turn, to run the analytics over.
+NAMES = ("CUST-SSN", "WS-TAX-ID", "EMP-DOB", "TAX-IDS", "CUST-PIN-NO", "SPIN", "LOGON-PASSWORD", "ACCOUNT-NO", "WS-WAGE", "WAGES", "CUST-CREDIT", "EMP-NAME", "MAIL-ADDR", "FILLER", "WS-EOF", "WS-X")
+NOTES = ("EXEC SQL fetch", "send map", "pcb mask", "open failed", "call target", "go to exit", "unstring parts", "redefines base", "multiply twice", "nothing known")
 
-    return table(spark, sf_dir, "events").select("event_id", "event_type", sensitivity(F.col("event_type"), [SENSITIVE[0], SENSITIVE[-1]]).alias("level"))
+
+def _in_turn(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][CAST(p_partkey % {len(values)} + 1 AS INTEGER)]"
+
+
+def _given(values: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
+
+
+@register(f"""SELECT p_partkey, name, CASE WHEN name IN ('FILLER', 'WS-EOF', 'WS-ERROR') THEN NULL
+ WHEN regexp_matches(name, '(^|-)(SSN|TAX-ID|DOB|BIRTH|PIN)(-|$)|(^|-)SOCIAL-SEC|PASSWORD') THEN 'HIGH'
+ WHEN regexp_matches(name, 'ACCOUNT|BALANCE|SALARY|(^|-)WAGE(-|$)|CREDIT|PAYMENT') THEN 'MEDIUM'
+ WHEN regexp_matches(name, '^CUST-|^EMP-|ADDR|PHONE|EMAIL') THEN 'LOW' END AS level FROM (SELECT p_partkey, {_in_turn(NAMES)} AS name FROM part)""")
+def corpus_sensitivity(spark, sf_dir):
+    named = table(spark, sf_dir, "part").select("p_partkey", _given(NAMES).alias("name"))
+    return named.select("p_partkey", "name", corpus.sensitivity(F.col("name")).alias("level"))
+
+
+@register(f"""SELECT category, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM (
+ SELECT ['DB2 / SQL', 'CICS', 'DLI / IMS', 'File I/O', 'External CALL', 'Control Flow', 'String Ops', 'Data / MOVE', 'Arithmetic', 'Other'][CAST(p_partkey % {len(NOTES)} + 1 AS INTEGER)] AS category FROM part) GROUP BY category""")
+def corpus_todo_triage(spark, sf_dir):
+    return corpus.triage(table(spark, sf_dir, "part").select(_given(NOTES).alias("text")))
+
+
+@register("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS missing FROM events")
+def json_parse(spark, sf_dir):
+    found = documents.json_parse(F.col("props"), ["k", "missing"])
+    return table(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in found.items()])
+
+
+@register("SELECT n_nationkey, '<nation><N_NAME>' || n_name || '</N_NAME><KEY>' || CAST(n_regionkey AS VARCHAR) || '</KEY><NONE /></nation>' AS xml FROM nation")
+def xml_generate(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", documents.xml_generate("nation", {"N_NAME": F.col("n_name"), "KEY": F.col("n_regionkey"), "NONE": F.lit(None)}).alias("xml"))
+
+
+@register("SELECT p_partkey, 'a<b&' || p_name AS name, CAST(p_size AS VARCHAR) AS size, '' AS none FROM part")
+def xml_parse(spark, sf_dir):
+    source = documents.xml_generate("part", {"name": F.concat(F.lit("a<b&"), F.col("p_name")), "size": F.col("p_size")})
+    return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for n, c in documents.xml_parse(source, ["name", "size", "none"]).items()])
+
+
+@register("SELECT event_id, strftime(ts, '%y%m%d') AS date6, strftime(ts, '%Y%j') AS day7, strftime(ts, '%u') AS week_day, strftime(ts, '%H%M%S') AS time6 FROM events")
+def accept_from(spark, sf_dir):
+    ts = F.col("ts")
+    return table(spark, sf_dir, "events").select("event_id", documents.accept("DATE", ts).alias("date6"), documents.accept("DAY YYYYDDD", ts).alias("day7"), documents.accept("DAY-OF-WEEK", ts).alias("week_day"), documents.accept("TIME", ts).substr(1, 6).alias("time6"))
+
+
+@register("""SELECT o_orderkey, coalesce(l_partkey, 0) AS l_partkey, CASE WHEN l_partkey IS NULL THEN 'GE' ELSE '  ' END AS status FROM orders LEFT JOIN
+ (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem) l ON o_orderkey = l_orderkey AND rn = 2""")
+def dli_get_next_in_parent(spark, sf_dir):
+    children = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    return segments.next_in_parent(table(spark, sf_dir, "orders").select("o_orderkey"), children, ["o_orderkey"], ["l_linenumber", "l_partkey"], 2).select("o_orderkey", F.coalesce("l_partkey", F.lit(0)).alias("l_partkey"), "status")
+
+
+@register("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey <> 7")
+def dli_delete(spark, sf_dir):
+    gone = table(spark, sf_dir, "nation").where("n_nationkey = 7").select(F.col("n_nationkey").alias("c_nationkey"))
+    return segments.delete([(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"])], gone)[0]
+
+
+@register("SELECT r_regionkey, i, j FROM region, (SELECT CAST(unnest(generate_series(1, 9, 2)) AS BIGINT) AS i) a, (SELECT CAST(unnest(generate_series(9, 1, -1)) AS BIGINT) AS j) b WHERE i <= r_regionkey + 3 AND j <= i AND j >= 1")
+def perform_varying(spark, sf_dir):
+    return loops.varying(table(spark, sf_dir, "region").select("r_regionkey"), [("i", F.lit(1), F.lit(2), F.col("r_regionkey") + 3), ("j", F.col("i"), F.lit(-1), F.lit(1))])
+
+
+@register("""SELECT o_orderkey, CASE WHEN rn % 5 = 1 OR before IS DISTINCT FROM o_orderstatus THEN o_orderstatus ELSE '' END AS shown
+ FROM (SELECT *, row_number() OVER w AS rn, lag(o_orderstatus) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))""")
+def report_group_indicate(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    marked = reports.breaks(df, reports.Report(["o_orderstatus"], {}, page=5), ["o_orderkey"], ["o_custkey"])
+    return marked.select("o_orderkey", reports.indicate(F.col("o_orderstatus"), line="line").alias("shown"))
+
+
+@register("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def entry_points_except(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from recordloom.functions import strings
 from recordloom.functions.intrinsics import FUNCTIONS, intrinsic
 from recordloom.functions.semantics import coerce, divide, edited, equal, from_zoned, zoned
-from recordloom.operators import keyed, reports, sorting
+from recordloom.operators import keyed, loops, reports, segments, sorting
+from recordloom.plans import copying, corpus
 from recordloom.plans.copybook import column_names, parse_picture, parse_records
 from recordloom.plans.corpus import call_graph, changes, facts, fingerprints, flow
 from recordloom.plans.expressions import compute, condition
@@ -121,3 +122,39 @@ def test_corpus(spark, tmp_path):
     assert ("A", "P2") in set(map(tuple, flow(rows)[1].collect()))
     prints = fingerprints(rows)
     assert {r.change for r in changes(prints, prints.where("program = 'A'")).collect()} == {"unchanged", "removed"}
+
+
+def test_copy(spark):
+    books = {"a": "01 :T:-REC.\n    COPY B.\n", "b": "   05 OLD-ID PIC 9.\n   05 X-OLD PIC 9.\n   COPY A.\n"}
+    text = "       COPY A REPLACING ==:T:== BY ==CUST==\n           LEADING ==OLD== BY ==NEW== TRAILING ==OLD== BY ==END==.\n       COPY GONE.\n       MOVE 1 TO COPY-X.\n"
+    want = copying.expand(text, books)
+    assert "01 CUST-REC." in want and "05 NEW-ID" in want and "05 X-END" in want
+    assert "CIRCULAR" in want and "GONE -- NOT FOUND" in want and "MOVE 1 TO COPY-X." in want
+    assert copying.replacements(" REPLACING A BY B 'C' BY 'D'") == [("A", "B", "FULL"), ("'C'", "'D'", "FULL")]
+    files = spark.createDataFrame([("p/x.cob", text), ("p/y.cob", None)], "path string, text string")
+    shelf = spark.createDataFrame([("lib/A.cpy", books["a"]), ("lib/a.copy", "other"), ("lib/B.CBL", books["b"]), ("lib/C", "unused")], "path string, text string")
+    assert {r.path: r.text for r in copying.expand_files(files, shelf).collect()} == {"p/x.cob": want, "p/y.cob": ""}
+
+
+def test_segments_and_loops(spark):
+    seg = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "p int, k int, v string")
+    assert segments.get_unique(seg, ["p", "k"], F.col("p") == 2).first()["v"] == "c"
+    assert segments.get_next(seg, ["p", "k"], [1, 2]).first()["v"] == "c"
+    assert segments.get_next(seg, ["p", "k"], [2, 1]).count() == 0
+    changed = spark.createDataFrame([(1, 2, "B"), (9, 9, "z")], seg.schema)
+    assert sorted(r.v for r in segments.replace(seg, changed, ["p", "k"]).collect()) == ["B", "a", "c"]
+    assert segments.insert(seg, changed).count() == 5
+    one = spark.range(1)
+    assert loops.times(one, F.lit(3)).count() == 3 and loops.times(one, F.lit(0)).count() == 0
+    assert loops.varying(one, [("i", F.lit(5), F.lit(1), F.lit(1))], test_after=True).first()["i"] == 5
+
+
+def test_triage(spark):
+    rows = spark.createDataFrame([("A", "P1", 1, 0, "GO", "P3", "GO TO P3"), ("A", "P2", 2, 1, "MOVE", None, "MOVE 1 TO X"), ("A", "P3", 3, 2, "STOP", None, "STOP RUN")], "program string, paragraph string, par_no int, stmt_no int, verb string, target string, text string")
+    items = spark.createDataFrame([("A", "CUST-SSN"), ("A", "FILLER")], "program string, name string")
+    found = {r.warning for r in corpus.warnings(rows, items).collect()}
+    assert {"GO TO in P1", "Unreachable paragraph: P2", "1 highly sensitive items"} <= found
+    lines = spark.createDataFrame([("A", "      * NOTE", False), ("A", "       MOVE 1 TO X.", False), ("A", "  ", False), ("B", "*> NOTE", True), ("B", "      * 2", True)], "program string, line string, free boolean")
+    assert sorted(map(tuple, corpus.line_counts(lines).collect())) == [("A", 3, 1, 1, 1), ("B", 2, 1, 1, 0)]
+    points = spark.createDataFrame([("A", "x")], "program string, text string")
+    assert sorted(map(tuple, corpus.triage_programs(spark.createDataFrame([("A",), ("B",)], "program string"), points).collect())) == [("A", 1, False), ("B", 0, True)]
