@@ -11,7 +11,9 @@ from recordloom.functions import documents, intrinsics, semantics, strings
 from recordloom.functions.semantics import coerce, pad
 from recordloom.operators import keyed, loops, moves, reports, segments, sorting, tables
 from recordloom.plans import corpus, sql_steps
+from recordloom.plans.copybook import parse_records
 from recordloom.plans.expressions import also, compute, condition, condition_name, evaluate
+from recordloom.plans.procedure import Program
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -433,3 +435,27 @@ def report_group_indicate(spark, sf_dir):
 @register("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def entry_points_except(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@register("""SELECT o_orderkey, CASE WHEN price > 200000 THEN 'BIG ' WHEN o_orderstatus = 'F' THEN 'DONE' ELSE 'LOW ' END AS kind,
+ CASE WHEN price > 200000 THEN CAST(round(price * 0.015, 2) AS DECIMAL(9,2)) WHEN o_orderstatus = 'F' THEN 0 ELSE 5 END + 1 AS fee
+ FROM (SELECT *, CAST(o_totalprice AS DECIMAL(15,2)) AS price FROM orders)""", "fee")
+def procedure_paragraphs(spark, sf_dir):
+    records = parse_records("01 REC.\n 05 PRICE PIC 9(9)V99.\n 05 STATUS PIC X.\n    88 IS-FINAL VALUE 'F'.\n 05 KIND PIC X(4).\n 05 FEE PIC 9(7)V99.")
+    program = Program(
+        """
+        MAIN-LINE.
+            IF PRICE > 200000
+                MULTIPLY PRICE BY 0.015 GIVING FEE ROUNDED
+                MOVE "BIG" TO KIND
+            ELSE IF IS-FINAL MOVE "DONE" TO KIND
+            ELSE PERFORM LOW-ORDER.
+            ADD 1 TO FEE.
+        LOW-ORDER.
+            MOVE "LOW" TO KIND.
+            MOVE 5 TO FEE.
+        """,
+        records,
+    )
+    df = table(spark, sf_dir, "orders").select("o_orderkey", money("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    return program.apply(df).select("o_orderkey", "kind", "fee")

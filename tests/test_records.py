@@ -13,6 +13,7 @@ from recordloom.plans import copying, corpus
 from recordloom.plans.copybook import column_names, parse_picture, parse_records
 from recordloom.plans.corpus import call_graph, changes, facts, fingerprints, flow
 from recordloom.plans.expressions import compute, condition
+from recordloom.plans.procedure import Program, Unsupported
 from recordloom.plans.sql_steps import Cursor, prepare
 from recordloom.sources import fixed_width
 
@@ -158,3 +159,49 @@ def test_triage(spark):
     assert sorted(map(tuple, corpus.line_counts(lines).collect())) == [("A", 3, 1, 1, 1), ("B", 2, 1, 1, 0)]
     points = spark.createDataFrame([("A", "x")], "program string, text string")
     assert sorted(map(tuple, corpus.triage_programs(spark.createDataFrame([("A",), ("B",)], "program string"), points).collect())) == [("A", 1, False), ("B", 0, True)]
+
+
+STORE = """
+01 REC.
+   05 AMT PIC S9(5)V99.
+   05 KIND PIC X(4).
+      88 IS-DONE VALUE "DONE".
+   05 N PIC 9(3).
+   05 R PIC 9(3).
+   05 T PIC 9(2) VALUE 7.
+"""
+
+
+def test_procedure(spark):
+    program = Program(
+        """
+    MAIN-LINE.
+        IF AMT > 100 AND NOT IS-DONE
+            MOVE "BIG" TO KIND
+            IF AMT > 1000 COMPUTE AMT ROUNDED = AMT / 3 ELSE ADD 1 2 TO N
+        ELSE
+            PERFORM OTHERS 2 TIMES.
+        EVALUATE KIND ALSO TRUE
+            WHEN "BIG" ALSO AMT > 500
+            WHEN "HUGE" ALSO ANY MOVE 9 TO R
+            WHEN OTHER DIVIDE 17 BY 5 GIVING R REMAINDER T
+        END-EVALUATE.
+        MULTIPLY 400 BY N ON SIZE ERROR SET IS-DONE TO TRUE NOT ON SIZE ERROR SUBTRACT 1 FROM N END-MULTIPLY.
+    OTHERS.
+        ADD 5 TO N.
+        DIVIDE 0 INTO R.
+        MOVE SPACES TO KIND.
+    """,
+        parse_records(STORE),
+    )
+    rows = spark.createDataFrame([(1, Decimal("2000.00"), "X", 0, 1), (2, Decimal("200.00"), "X", 0, 1), (3, Decimal("5.00"), "DONE", 0, 8)], "id int, amt decimal(7,2), kind string, n int, r int")
+    out = {x.id: (x.amt, x.kind, int(x.n), int(x.r), int(x.t)) for x in program.apply(rows).collect()}
+    assert out[1] == (Decimal("666.67"), "BIG ", 1, 9, 7)  # N is unsigned: 0 - 1 is kept as 1
+    assert out[2] == (Decimal("200.00"), "DONE", 3, 3, 2)
+    assert out[3] == (Decimal("5.00"), "DONE", 10, 3, 2)
+
+
+@pytest.mark.parametrize("text", ["P.\n  READ F.", "P.\n  GO TO Q.", "P.\n  PERFORM P.", "P.\n  MOVE 1 TO NONE.", "P.\n  PERFORM P UNTIL N > 3.", "P.\n  MOVE 1 TO N ELSE."])
+def test_procedure_rejects(spark, text):
+    with pytest.raises(Unsupported):
+        Program(text, parse_records(STORE)).apply(spark.createDataFrame([(1,)], "n int"))
