@@ -432,9 +432,9 @@ def report_group_indicate(spark, sf_dir):
     return marked.select("o_orderkey", reports.indicate(F.col("o_orderstatus"), line="line").alias("shown"))
 
 
-@register("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def entry_points_except(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @register("""SELECT o_orderkey, CASE WHEN price > 200000 THEN 'BIG ' WHEN o_orderstatus = 'F' THEN 'DONE' ELSE 'LOW ' END AS kind,
