@@ -56,5 +56,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
+#: Sets of words' shingles, links between different sets, and the least doc_id that links reach.
+SHINGLE_JOIN_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM words),
+classes AS (SELECT min(doc_id) AS rep, s FROM sets WHERE len(s) > 0 GROUP BY s),
+entries AS (SELECT rep, len(s) AS n, unnest(s) AS shingle FROM classes),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reached AS (SELECT rep, rep AS other FROM classes UNION SELECT r.rep, l.b FROM reached r JOIN links l ON r.other = l.a),
+least AS (SELECT rep, min(other) AS component_id FROM reached GROUP BY rep)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
+FROM sets d LEFT JOIN classes c ON d.s = c.s LEFT JOIN least l ON l.rep = c.rep"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what it can express: trained models, tokenizers and checksums are tested against brute force instead."""
+    return {"op9_shingle_join": SHINGLE_JOIN_SQL}
