@@ -459,3 +459,105 @@ def procedure_paragraphs(spark, sf_dir):
     )
     df = table(spark, sf_dir, "orders").select("o_orderkey", money("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
     return program.apply(df).select("o_orderkey", "kind", "fee")
+
+
+@register("""SELECT p_partkey, round(sin(p_size / 100.0), 6) AS sine, round(cos(p_size / 100.0), 6) AS cosine, round(atan(p_size / 100.0), 6) AS arc, round(asin(p_size / 100.0), 6) AS arcsine,
+ round(exp(p_size / 100.0), 6) AS power, round(log10(p_size + 1.0), 6) AS log, CAST(sign(p_size - 25) AS INTEGER) AS sign, abs(p_size - 25) AS distance FROM part""")
+def intrinsic_trigonometry(spark, sf_dir):
+    df = table(spark, sf_dir, "part")
+    f = fields(df)
+    spec = {"sine": "SIN(P-SIZE / 100)", "cosine": "COS(P-SIZE / 100)", "arc": "ATAN(P-SIZE / 100)", "arcsine": "ASIN(P-SIZE / 100)", "power": "EXP(P-SIZE / 100)", "log": "LOG10(P-SIZE + 1)"}
+    return df.select("p_partkey", *[F.round(compute(f"FUNCTION {t}", f), 6).alias(k) for k, t in spec.items()], compute("FUNCTION SIGN(P-SIZE - 25)", f).alias("sign"), compute("FUNCTION ABS(P-SIZE - 25)", f).cast("int").alias("distance"))
+
+
+@register("""SELECT p_partkey, CASE WHEN p_size <= 50 THEN 2000 + p_size ELSE 1900 + p_size END AS year, (CASE WHEN p_size <= 50 THEN 2000 + p_size ELSE 1900 + p_size END) * 1000 + 45 AS year_day,
+ round(0.05 / (1 - power(1.05, -p_size)), 6) AS annuity, round(p_size / 1.1 + 100 / power(1.1, 2), 6) AS present FROM part""")
+def intrinsic_years_and_finance(spark, sf_dir):
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        intrinsics.intrinsic("YEAR-TO-YYYY", size).cast("int").alias("year"),
+        intrinsics.intrinsic("DAY-TO-YYYYDDD", size * 1000 + 45).cast("int").alias("year_day"),
+        F.round(intrinsics.intrinsic("ANNUITY", F.lit(0.05), size), 6).alias("annuity"),
+        F.round(intrinsics.intrinsic("PRESENT-VALUE", F.lit(0.1), size, F.lit(100)), 6).alias("present"),
+    )
+
+
+@register("""SELECT c_custkey, round(CAST(substr(c_name, 10) AS DOUBLE), 2) AS number, CASE WHEN regexp_matches(c_name, '^[0-9]+$') THEN 0 ELSE 1 END AS text_fails, 0 AS digits_fail, 1234.5 + c_custkey AS amount FROM customer""", "amount")
+def intrinsic_numval(spark, sf_dir):
+    digits = F.expr("substr(c_name, 10)")
+    value = intrinsics.intrinsic("NUMVAL-C", F.lit(" $1,234.5 "))
+    return table(spark, sf_dir, "customer").select("c_custkey", intrinsics.intrinsic("NUMVAL", digits).cast("double").alias("number"), intrinsics.intrinsic("TEST-NUMVAL", F.col("c_name")).alias("text_fails"), intrinsics.intrinsic("TEST-NUMVAL", digits).alias("digits_fail"), (value + F.col("c_custkey")).alias("amount"))
+
+
+@register("""SELECT p_partkey, length(regexp_extract(p_brand, '^(B*)', 1)) AS leading, CASE WHEN starts_with(p_brand, 'B') THEN 'X' || substr(p_brand, 2) ELSE p_brand END AS replaced,
+ CASE WHEN position(' ' IN p_type) > 0 THEN substr(p_type, position(' ' IN p_type) + 1) ELSE p_type END AS behind FROM part""")
+def inspect_leading_and_after(spark, sf_dir):
+    brand = F.col("p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", strings.tally_leading(brand, "B").cast("bigint").alias("leading"), strings.replace_leading(brand, "B", "X").alias("replaced"), strings.region(F.col("p_type"), after=" ")[1].alias("behind"))
+
+
+@register("""SELECT c_custkey, rpad('#####' || c_mktsegment || repeat('#', 15 - length(c_mktsegment)), 20, ' ') AS spliced, 5 + length(c_mktsegment) > 14 AS overflow,
+ len(regexp_split_to_array(c_name, '#|0')) AS n_parts, rpad(coalesce(regexp_split_to_array(c_name, '(#|0)+')[2], ''), 9, ' ') AS second FROM customer""")
+def string_pointer_and_delimiters(spark, sf_dir):
+    segment, name = [(F.col("c_mktsegment"), None)], F.col("c_name")
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        strings.string(segment, 20, F.lit("#" * 20), F.lit(6)).alias("spliced"),
+        strings.string_overflow(segment, 14, F.lit(6)).alias("overflow"),
+        F.size(strings.parts(name, ["#", "0"])).cast("bigint").alias("n_parts"),
+        strings.unstring(name, ["#", "0"], 2, 9, every=True).alias("second"),
+    )
+
+
+@register("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE l_quantity < 10 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL")
+def sql_delete_as_filter(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders_file")
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lines_file")
+    return sql_steps.run(spark, "EXEC SQL SELECT l_returnflag, l_linestatus, count(*) AS n FROM lines_file l LEFT ANTI JOIN orders_file o ON l_orderkey = o_orderkey AND o_orderstatus = :WS-DONE WHERE l_quantity < :WS-MOST GROUP BY l_returnflag, l_linestatus END-EXEC", {"WS-DONE": "F", "WS-MOST": 10})
+
+
+@register("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def sql_update_as_projection(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders_file")
+    return sql_steps.run(spark, "EXEC SQL SELECT o_orderkey, CASE WHEN o_orderstatus = :WS-FROM THEN :WS-TO ELSE o_orderstatus END AS o_orderstatus FROM orders_file END-EXEC", {"WS-FROM": "P", "WS-TO": "X"})
+
+
+#: Statements that rows of nation are taken for: its name is a program that calls the next nation but one.
+def _programs(spark, sf_dir) -> DataFrame:
+    df = table(spark, sf_dir, "nation")
+    verb = F.when(F.col("n_nationkey") % 3 == 0, "GO").when(F.col("n_nationkey") % 3 == 1, "CALL").otherwise("PERFORM")
+    return df.select(F.concat(F.lit("P"), (F.col("n_nationkey") % 5).cast("string")).alias("program"), F.concat(F.lit("PAR-"), F.col("n_nationkey").cast("string")).alias("paragraph"), F.col("n_nationkey").alias("par_no"), F.lit(1).alias("stmt_no"), verb.alias("verb"), F.col("n_name").alias("text"), F.when(verb == "CALL", F.concat(F.lit("P"), (F.col("n_nationkey") % 7).cast("string"))).otherwise(F.concat(F.lit("PAR-"), (F.col("n_nationkey") + 10).cast("string"))).alias("target"))
+
+
+@register("SELECT DISTINCT 'P' || (n_nationkey % 5) AS caller, 'P' || (n_nationkey % 7) AS callee, n_nationkey % 7 < 5 AS known FROM nation WHERE n_nationkey % 3 = 1")
+def corpus_calls(spark, sf_dir):
+    edges, _, missing = corpus.call_graph(_programs(spark, sf_dir))
+    return edges.join(missing.withColumn("gone", F.lit(True)), "callee", "left").select("caller", "callee", F.col("gone").isNull().alias("known"))
+
+
+@register("""SELECT 'P' || (n_nationkey % 5) AS program, 'PAR-' || n_nationkey AS paragraph FROM nation n WHERE n_nationkey > 0
+ AND NOT EXISTS (SELECT 1 FROM nation m WHERE m.n_nationkey % 3 <> 1 AND m.n_nationkey + 10 = n.n_nationkey)
+ AND NOT EXISTS (SELECT 1 FROM nation m WHERE m.n_nationkey % 3 <> 0 AND m.n_nationkey + 5 = n.n_nationkey)""")
+def corpus_flow_unreached(spark, sf_dir):
+    return corpus.flow(_programs(spark, sf_dir))[1]
+
+
+@register("""SELECT 'P' || (n_nationkey % 5) AS program, 'PAR-' || n_nationkey AS paragraph, CASE WHEN n_nationkey < 3 THEN 'added' WHEN n_nationkey > 20 THEN 'removed' WHEN n_regionkey = 1 THEN 'modified' ELSE 'unchanged' END AS change FROM nation""")
+def corpus_fingerprint_changes(spark, sf_dir):
+    old = _programs(spark, sf_dir)
+    regions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("par_no"), "n_regionkey")
+    new = old.join(regions, "par_no").withColumn("text", F.when(F.col("n_regionkey") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return corpus.changes(corpus.fingerprints(old.where("par_no >= 3")), corpus.fingerprints(new.where("par_no <= 20")))
+
+
+@register("SELECT n_nationkey, rpad(n_name, 4, ' ') AS short, lpad(n_name, 20, ' ') AS flush, lpad(CAST(n_regionkey AS VARCHAR), 3, '0') AS digits FROM nation")
+def move_padding(spark, sf_dir):
+    name = F.col("n_name")
+    return table(spark, sf_dir, "nation").select("n_nationkey", pad(name, 4).alias("short"), semantics.justified(name, 20).alias("flush"), semantics.zoned(F.col("n_regionkey"), 3).alias("digits"))
+
+
+@register("SELECT n_nationkey, i FROM nation, (SELECT CAST(unnest(generate_series(1, 5)) AS BIGINT) AS i) s WHERE i <= n_regionkey")
+def perform_times(spark, sf_dir):
+    out = loops.times(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("n_regionkey"), "i")
+    return out.select("n_nationkey", F.col("i").cast("bigint").alias("i"))
