@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,28 @@ from pyspark.sql import functions as F
 from recordloom.llm.common import fold, map_arrow, text_bytes
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes are not cached; their n-grams are hashed as arrays, CHUNK places at a time.
+LONG, CHUNK = 64, 1 << 18
+_P1, _P2, _P3, _P4, _P5 = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+
+
+def _turn(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << np.uint32(by)) | (h >> np.uint32(32 - by))
+
+
+def window_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """xxh32 of every window of n bytes, n below 16."""
+    count = len(data) - n + 1
+    wide = data.astype(np.uint32)
+    h = np.full(count, _P5 + np.uint32(n), np.uint32)
+    for at in range(0, n - 3, 4):
+        lane = sum(wide[at + k : at + k + count] << np.uint32(8 * k) for k in range(4))
+        h = _turn(h + lane * _P3, 17) * _P4
+    for at in range(n - n % 4, n):
+        h = _turn(h + wide[at : at + count] * _P5, 11) * _P1
+    h = (h ^ (h >> np.uint32(15))) * _P2
+    h = (h ^ (h >> np.uint32(13))) * _P3
+    return h ^ (h >> np.uint32(16))
 
 
 @dataclass(frozen=True)
@@ -27,30 +50,51 @@ class Shape:
 
 
 class Features:
-    """Hashed features of texts: for each distinct word its own and its n-grams' buckets; word pairs come from the words' hashes."""
+    """Hashed features of texts: for each distinct word its own and its n-grams' buckets; word pairs come from the words' hashes.
+
+    A word of over LONG bytes gets a new code each time, its own bucket alone in `parts` and its bytes in `long`,
+    until `forget_long`; `grams` gives the rest of its buckets.
+    """
 
     def __init__(self, shape: Shape, limit: int = 150_000):
         self.shape, self.limit = shape, limit
         self.codes: dict[bytes, int] = {}
         self.parts: list[np.ndarray] = []
         self.hashes: list[int] = []
+        self.long: dict[int, bytes] = {}
 
     def word(self, w: bytes) -> int:
-        code = self.codes.get(w)
-        if code is None:
+        code, top = self.codes.get(w), self.shape.buckets
+        if code is None and len(w) > LONG:
+            code, h = len(self.parts), xxhash.xxh64_intdigest(w)
+            self.long[code] = w
+            self.parts.append(np.array([h % top], np.int64))
+            self.hashes.append(h)
+        elif code is None:
             code = self.codes[w] = len(self.parts)
-            padded, top = b"<" + w[:64] + b">", self.shape.buckets
+            padded = b"<" + w + b">"
             h = xxhash.xxh64_intdigest(w)
             grams = [padded[i : i + n] for n in range(self.shape.low, self.shape.high + 1) for i in range(len(padded) - n + 1)]
             self.parts.append(np.array([h % top, *[xxhash.xxh32_intdigest(g) % top for g in grams]], np.int64))
             self.hashes.append(h)
         return code
 
+    def grams(self, w: bytes) -> Iterator[np.ndarray]:
+        """Buckets of all n-grams of a word, some at a time."""
+        data = np.frombuffer(b"<" + w + b">", np.uint8)
+        for n in range(self.shape.low, self.shape.high + 1):
+            for at in range(0, len(data) - n + 1, CHUNK):
+                yield window_hashes(data[at : at + CHUNK + n - 1], n).astype(np.int64) % self.shape.buckets
+
+    def forget_long(self) -> None:
+        self.long.clear()
+
     def reset_if_full(self) -> bool:
         if len(self.parts) > self.limit:
             self.codes.clear()
             self.parts.clear()
             self.hashes.clear()
+            self.long.clear()
             return True
         return False
 
@@ -65,7 +109,16 @@ class Features:
         if not words:
             return np.empty(0, np.int64), np.empty(0, np.float32)
         ids = np.concatenate([*[self.parts[c] for c in words], self.pairs(np.array([self.hashes[c] for c in words], np.uint64))])
-        ids, n = np.unique(ids, return_counts=True)
+        if self.long:
+            n = np.bincount(ids, minlength=self.shape.buckets)
+            for c in words:
+                for part in self.grams(self.long[c]) if c in self.long else ():
+                    n += np.bincount(part, minlength=self.shape.buckets)
+            self.forget_long()
+            ids = np.flatnonzero(n)
+            n = n[ids]
+        else:
+            ids, n = np.unique(ids, return_counts=True)
         return ids, (n / n.sum()).astype(np.float32)
 
 
@@ -138,16 +191,24 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     def per_slice():
         features = Features(shape)
         sums: list[float] = []
+        sizes: list[int] = []
 
         def apply(batch: pa.RecordBatch) -> dict:
             if features.reset_if_full():
                 sums.clear()
+                sizes.clear()
             word = features.word
             texts = [[word(w) for w in t.split()] for t in text_bytes(batch)]
             for part in features.parts[len(sums) :]:
                 sums.append(float(scalar[part].sum()))
+                sizes.append(len(part))
+            for c, w in features.long.items():
+                for part in features.grams(w):
+                    sums[c] += float(scalar[part].sum(dtype=np.float64))
+                    sizes[c] += len(part)
+            features.forget_long()
             total, count = np.zeros(len(texts)), np.zeros(len(texts))
-            by, size, hashes = np.array(sums), np.fromiter(map(len, features.parts), np.int64, len(features.parts)), np.array(features.hashes, np.uint64)
+            by, size, hashes = np.array(sums), np.array(sizes, np.int64), np.array(features.hashes, np.uint64)
             for i, codes in enumerate(texts):
                 if codes:
                     codes = np.array(codes)

@@ -155,6 +155,31 @@ def test_rules_and_classifier(spark, empty):
     assert rule_list.keep_good(docs, nothing).columns == docs.columns
 
 
+def test_classifier_reads_words_without_blanks_to_the_end(spark):
+    """Texts of one long word with a common beginning: only what stands behind it tells them apart."""
+    rng = random.Random(4)
+    head = "".join(rng.choices("天地玄黃宇宙洪荒", k=60))
+    rows = [(i, head + "".join(rng.choices("甲乙丙丁" if i % 3 else "子丑寅卯", k=400))) for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id bigint, quality int")
+    held = {i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0}
+    scores = {r.doc_id: r.predicted for r in quality_model.classify(docs, labels).collect()}
+    assert np.mean([scores[i] == (i % 3 > 0) for i in held]) > 0.95
+
+
+def test_long_words_have_the_n_grams_of_short_ones(monkeypatch):
+    import xxhash
+
+    data = bytes(random.Random(6).choices(range(256), k=300))
+    for n in range(1, 16):
+        want = [xxhash.xxh32_intdigest(data[i : i + n]) for i in range(len(data) - n + 1)]
+        assert quality_model.window_hashes(np.frombuffer(data, np.uint8), n).tolist() == want
+    text = b"short words and " + b"ab" * 20 + b"longer " * 3
+    whole = quality_model.Features(quality_model.Shape()).bag(text)
+    monkeypatch.setattr(quality_model, "LONG", 4)
+    monkeypatch.setattr(quality_model, "CHUNK", 5)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, quality_model.Features(quality_model.Shape()).bag(text), strict=True))
+
+
 def test_token_files(docs, empty, tmp_path):
     rows = frames.token_files(docs.where("doc_id is not null")).orderBy("start").collect()
     assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
