@@ -131,6 +131,44 @@ def test_context_tree(docs, empty):
     assert context_tree.score_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("head", [200_000, 3])
+def test_whole_tree_keeps_every_context(docs, head):
+    """Scores by joins against one tree of all contexts, built from plain counts; the longest have seven bytes."""
+    from collections import Counter
+
+    rows = [(d.doc_id, (d.text or "").encode().lower().split()) for d in docs.collect()]
+    learnt = [w for i, w in rows if i is None or i % 2 == 0]
+    often, follow = Counter(x for w in learnt for x in w), Counter()
+    frequent = sorted(often, key=lambda w: (-often[w], w))[: context_tree.FREQUENT]
+    number = {w: i for i, w in enumerate(frequent)}
+    for w in learnt:
+        seen = [number[x] for x in w if x in number]
+        follow.update(zip(seen, seen[1:]))
+    grid = np.zeros((len(frequent), len(frequent)))
+    for pair, n in follow.items():
+        grid[pair] = n
+    classes = context_tree.form_classes(frequent, grid)
+
+    def places(w):
+        now = context_tree.CLASSES
+        for x in [*w, b""]:
+            yield x, now
+            now = classes.get(x, now)
+
+    counts = Counter()
+    for w in learnt:
+        x, c = zip(*places(w))
+        for byte, context, depth in zip(*context_tree._coded(list(x), np.array(c))):
+            for d in range(depth + 1):
+                counts[int(context) & ((1 << 8 * d) - 1) | d << 56, int(byte)] += 1
+    keys = sorted(counts)
+    assert max(k[0] >> 56 for k in keys) == 7
+    tree = context_tree.build(np.array([k[0] for k in keys], np.uint64), np.array([k[1] for k in keys]), np.array([counts[k] for k in keys], float))
+    want = sorted((-1 if i is None else i, float(tree.words(*(lambda x, c: (list(x), np.array(c)))(*zip(*places(w)))).sum())) for i, w in rows)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in context_tree.score(docs, F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True)), head_words=head).collect())
+    assert [i for i, _ in want] == [i for i, _ in got] and np.allclose([x for _, x in want], [x for _, x in got], rtol=1e-6)
+
+
 def test_tree_is_a_distribution():
     words, classes = [b"abc", b"abd", b""], np.array([0, 1, 2])
     byte, context, depth = context_tree._coded(words, classes)
