@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from recordloom.llm import chat, context_tree, frames, lexicon, packing, quality_model, rule_list, sharding, shingle_join, weighted_print
 from recordloom.llm.common import tokenizer_path
+from recordloom.llm.components import connected
 
 SCHEMA = "doc_id bigint, text string, n bigint, length bigint, sid bigint, row bigint, _b int"
 
@@ -274,6 +275,13 @@ def test_shingle_join(spark, empty, sizes):
         assert shingle_join.components(empty).count() == 0
 
 
+def test_components_are_never_left_unfinished(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    assert {tuple(r) for r in connected(path).collect()} == {(i, 0) for i in range(41)}
+    with pytest.raises(RuntimeError):
+        connected(path, 1)
+
+
 def test_chat(spark):
     rng = random.Random(2)
     rows = []
