@@ -115,7 +115,7 @@ def format_conversations(turns: DataFrame, tokenizer: str = "word_bpe_49k.json",
     schema = "conv_id bigint, window int, formatted string, loss_starts array<int>, loss_ends array<int>, n_repeated int, n_turns int, tokens int"
 
     def per_slice():
-        encoder = WordEncoder(tokenizer, 100_000)
+        encoder = WordEncoder(tokenizer, 40 << 20)
         state: dict = {"conv": (), "window": 0, "builder": None}
         names = [c.split()[0] for c in schema.split(", ")]
 

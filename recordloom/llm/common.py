@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,10 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a folder of this machine."""
+    """A new folder below spark.checkpoint.dir, which driver and executors must share.
+
+    Where that is unset, a session of one machine (master local[...]) gets a folder below its warehouse; on a cluster,
+    whose executors would each write to a disk of their own, it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="recordloom-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/recordloom-shared"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/recordloom-{uuid.uuid4().hex}"
 
@@ -53,10 +59,43 @@ def slices(batch: pa.RecordBatch, column: str | None = None) -> Iterator[pa.Reco
         yield batch.slice(at, step)
 
 
-def map_arrow(df: DataFrame, per_slice: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType, sized_by: str | None = None, quiet: bool = False) -> DataFrame:
-    """mapInArrow over bounded slices. per_slice makes, once a task, the function from a slice to columns.
+_COLLECT = gc.get_threshold()
+#: What a Python worker keeps from task to task: one thing at a time.
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """The worker's thing of that name, made where there is none; any other is dropped first."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def begin_task(keeps: str | None, rarely: bool) -> None:
+    """Drop what another operator has left in the worker; `rarely`: look for cycles at wide intervals only."""
+    if keeps not in _kept:
+        _kept.clear()
+    if rarely:
+        gc.set_threshold(200_000, 20, 20)
+
+
+def end_task() -> None:
+    """Give freed memory back to the system: workers of several operators share an executor."""
+    gc.set_threshold(*_COLLECT)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
 
-    quiet: no cycle collector while a task runs, for functions with large caches and no cycles.
+
+def map_arrow(df: DataFrame, per_slice: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType, sized_by: str | None = None, quiet: bool = False, keeps: str | None = None) -> DataFrame:
+    """mapInArrow over bounded slices. per_slice makes, once a task, the function from a slice to columns,
+    to an iterator of such, or to nothing.
+
+    quiet: a rare cycle collector, for functions with large caches and no cycles; keeps: the name under which the
+    function finds what the worker's last task of it has `kept`.
     """
     struct = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
@@ -65,21 +104,21 @@ def map_arrow(df: DataFrame, per_slice: Callable[[], Callable[[pa.RecordBatch],
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type) for c, f in ((columns[f.name], f) for f in arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if quiet:
-            gc.disable()
+        begin_task(keeps, quiet)
+        apply = None
         try:
             apply = per_slice()
             for batch in batches:
                 for part in slices(batch, sized_by):
-                    columns = apply(part)
-                    if columns is not None:
+                    found = apply(part)
+                    for columns in (found,) if isinstance(found, dict) else found or ():
                         yield batch_of(columns)
             done = getattr(apply, "finish", None)
             for columns in done() if done else ():
                 yield batch_of(columns)
         finally:
-            gc.enable()
-            pa.default_memory_pool().release_unused()
+            del apply
+            end_task()
 
     return df.mapInArrow(run, struct)
 
@@ -94,6 +133,21 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [v or b"" for v in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def most_frequent(counts: DataFrame, number: str, ties: list[str], most: int) -> DataFrame:
+    """The `most` rows of greatest `number` (1 or more), equal ones by `ties`. `counts` is read twice: hand in a written table.
+
+    A histogram by powers of 2 ** (1 / 8), some hundred rows whatever the input, tells first from which count on rows
+    are needed; only those and the rest of their step are sorted, so the sort doesn't grow with the rows counted.
+    """
+    step = F.floor(F.log2(number) * 8).cast("int")
+    left, least = most, None
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["step"]):
+        least, left = row["step"], left - row["k"]
+        if left <= 0:
+            break
+    return (counts if least is None else counts.where(step >= least)).orderBy(F.desc(number), *ties).limit(most)
+
+
 def order_buckets(ids: DataFrame, column: str, buckets: int) -> list:
     """At most `buckets` - 1 ascending split points of a column, by approximate quantiles over all rows."""
     points = ids.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 100 * buckets).alias("q")).first()["q"] if buckets > 1 else None
@@ -101,12 +155,15 @@ def order_buckets(ids: DataFrame, column: str, buckets: int) -> list:
 
 
 def bucket_of(column, points: list):
-    """Number of split points at or below the value: an order-preserving bucket; null sorts first, in bucket 0."""
+    """Number of split points at or below the value: an order-preserving bucket; null sorts first, in bucket 0.
+
+    A binary search over one constant array: a step for every bit of the number of points.
+    """
     if not points:
         return F.lit(0)
-    # binary search over a constant array, written as a balanced tree of comparisons in chunks
-    splits = F.array(*[F.lit(p) for p in points])
-    return F.coalesce(F.size(F.filter(splits, lambda p: p <= column)), F.lit(0))
+    splits = F.split(F.lit(",".join(map(str, points))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(points).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(splits, at + step - 1) <= column, at + step).otherwise(at))
 
 
 def tokenizer_path(name: str) -> str:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import functools
 import os
 
 import numpy as np
 
-from recordloom.llm.common import tokenizer_path
+from recordloom.llm.common import kept, tokenizer_path
 
 #: What may trail a word: one run of it behind an ASCII letter is always a token group of its own.
 TRAIL = b".,;:!?*$%&#"
@@ -18,12 +17,16 @@ class WordEncoder:
     """Encodes texts with a tokenizers file that drops white space, one distinct word at a time.
 
     Normaliser and splitter of such a file work within white-space separated words, so the ids of a text are
-    those of its words in order. Words split at ASCII white space; a word's ids are kept in a bounded cache.
+    those of its words in order. Words split at ASCII white space; a word's ids are kept in a cache bounded by bytes,
+    in two generations: when the younger is half of it, the elder goes, but for what has been met again since.
     Lower case is folded first only where no special token could be made by it. New words go to the tokenizer
     together, parted by a separator that none of them holds; marks that trail a word are looked up apart.
     """
 
-    def __init__(self, name: str, cache_words: int = 1_000_000, separator: str = "|"):
+    #: Bytes that a cached word takes besides its own and its ids': two objects and a place in the table.
+    COST = 180
+
+    def __init__(self, name: str, cache_bytes: int = 120 << 20, separator: str = "|"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -34,7 +37,8 @@ class WordEncoder:
         ids = self.tokenizer.encode(separator, add_special_tokens=False).ids
         self.mark = ids[0] if len(ids) == 1 else None
         self.cache: dict[bytes, bytes] = {}
-        self.limit = cache_words
+        self.elder: dict[bytes, bytes] = {}
+        self.size, self.limit = 0, cache_bytes // 2
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -55,6 +59,18 @@ class WordEncoder:
             for word, cut in zip(part, [*(4 * cuts).tolist(), len(data)], strict=True):
                 self.cache[word] = data[first:cut]
                 first = cut + 4
+        self._grown(words)
+
+    def _grown(self, words: list[bytes]) -> None:
+        self.size += sum(len(w) + len(self.cache[w]) for w in words) + self.COST * len(words)
+
+    def _met_again(self, words: set[bytes]) -> set[bytes]:
+        """Take over what the elder generation has; returns the rest."""
+        known = [w for w in words if w in self.elder]
+        for w in known:
+            self.cache[w] = self.elder[w]
+        self._grown(known)
+        return words.difference(known)
 
     def _missing(self, words: set[bytes]) -> None:
         cache, halves, need = self.cache, [], set()
@@ -65,9 +81,10 @@ class WordEncoder:
                 need.update(halves[-1][1:])
             else:
                 need.add(word)
-        self._learn(list(need.difference(cache)))
+        self._learn(list(self._met_again(need.difference(cache))))
         for word, core, trail in halves:
             cache[word] = cache[core] + cache[trail]
+        self._grown([word for word, _, _ in halves])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -79,16 +96,15 @@ class WordEncoder:
         new: set[bytes] = set()
         for words in split:
             new.update(set(words).difference(cache))
+        if new and self.size > self.limit:
+            self.elder, self.cache, self.size = cache, {}, 0
+            cache, new = self.cache, {w for words in split for w in words}
         if new:
-            if len(cache) + len(new) > self.limit:
-                cache.clear()
-                new = {w for words in split for w in words}
-            self._missing(new)
+            self._missing(self._met_again(new))
         get = cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
-@functools.lru_cache(maxsize=1)
 def shared_encoder(name: str) -> WordEncoder:
-    """The worker's encoder, kept from task to task with its cache."""
-    return WordEncoder(name)
+    """The worker's encoder, kept with its cache from task to task until another operator's task comes."""
+    return kept(f"words:{name}", lambda: WordEncoder(name))

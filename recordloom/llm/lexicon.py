@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import map_arrow, text_bytes, tokenizer_path
+from recordloom.llm.common import kept, map_arrow, materialise, most_frequent, text_bytes, tokenizer_path
 
 #: The public split pattern of byte-level vocabularies, a fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -303,7 +303,7 @@ def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
         return apply
 
     counts = map_arrow(docs.select("text"), per_slice, "word binary, n bigint", "text", quiet=True).groupBy("word").agg(F.sum("n").alias("n"))
-    return [b" " + w for w in counts.orderBy(F.desc("n"), "word").limit(most).toArrow()["word"].to_pylist()]
+    return [b" " + w for w in most_frequent(materialise(counts), "n", ["word"], most).toArrow()["word"].to_pylist()]
 
 
 class Encoder:
@@ -399,20 +399,14 @@ def decode(ids: list[int], table: dict[int, bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids))
 
 
-_own: dict[tuple, Encoder] = {}
-
-
-def _encoder(tokenizer: str, name: str, shared) -> Encoder:
-    """The worker's encoder, kept from task to task. The lexicon is mapped from a file that loses its name at once."""
-    if (tokenizer, name) not in _own:
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{uuid.uuid4().hex}")
-        with open(path, "wb") as f:
-            f.write(shared.value)
-        mapped = Transducer.map(path)
-        os.unlink(path)
-        _own.clear()
-        _own[tokenizer, name] = Encoder(Merges(tokenizer), mapped)
-    return _own[tokenizer, name]
+def _encoder(tokenizer: str, shared) -> Encoder:
+    """An encoder over the broadcast lexicon. It is mapped from a file that loses its name at once, so nothing is left of it."""
+    path = os.path.join(tempfile.gettempdir(), f"lexicon-{uuid.uuid4().hex}")
+    with open(path, "wb") as f:
+        f.write(shared.value)
+    mapped = Transducer.map(path)
+    os.unlink(path)
+    return Encoder(Merges(tokenizer), mapped)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", lexicon_words: int = 131_072, keep_ids: bool = False) -> DataFrame:
@@ -425,11 +419,11 @@ def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", lexi
     spark = docs.sparkSession
     merges = Merges(tokenizer)
     data = Transducer.compile({w: merges.encode(w.decode("utf-8")) for w in frequent_words(docs, lexicon_words)}).to_bytes()
-    name, shared = hashlib.sha256(data).hexdigest()[:24], spark.sparkContext.broadcast(data)
+    held, shared = f"lexicon:{tokenizer}:{hashlib.sha256(data).hexdigest()[:24]}", spark.sparkContext.broadcast(data)
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
 
     def per_slice():
-        encoder = _encoder(tokenizer, name, shared)
+        encoder = kept(held, lambda: _encoder(tokenizer, shared))
 
         def apply(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
@@ -445,4 +439,4 @@ def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", lexi
 
         return apply
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), per_slice, schema, "text", quiet=True)
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), per_slice, schema, "text", quiet=True, keeps=held)

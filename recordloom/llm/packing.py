@@ -17,7 +17,10 @@ from recordloom.llm.encoders import shared_encoder
 
 @dataclass(frozen=True)
 class Bin:
-    """What a sequence may hold: tokens, documents (pieces) and attention cost, the sum of squared lengths."""
+    """What a sequence may hold: tokens, documents (pieces) and attention cost, the sum of squared lengths.
+
+    A full piece costs tokens squared, which is the least attention capacity that lets it in.
+    """
 
     tokens: int = 2048
     documents: int = 2048
@@ -28,7 +31,8 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
     """Token pieces of every document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
     Null text counts as empty: one piece that holds the end id alone. Only documents of over `capacity` ids are
-    cut. Repeated rows yield repeated pieces; other columns of docs are ignored.
+    cut; a very long text becomes many pieces, one at a time. Repeated rows yield repeated pieces; other columns of
+    docs are ignored; a null doc_id stays null.
     """
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
 
@@ -52,73 +56,89 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
 
         return apply
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), per_slice, schema, "text", quiet=True)
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), per_slice, schema, "text", quiet=True, keeps=f"words:{tokenizer}")
+
 
+NORM, DOT = "residual_norm", "dot_product"
+#: Rules by which bins are selected, with the weights of residual tokens, documents and attention: `pack` tries each.
+RULES = ((NORM, (1.0, 0.25, 0.25)), (DOT, (1.0, 0.25, 0.25)))
+#: Capacities that `pack_documents` tries, tight ones first: the first of those that give the fewest sequences is taken.
+BINS = (Bin(documents=256), Bin(documents=512), Bin())
 
-def best_fit(histogram: dict[int, int], bin: Bin = Bin(), weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), rule: str = "residual_norm") -> np.ndarray:
+
+def best_fit(histogram: dict[int, int], bin: Bin = Bin(), weights: tuple[float, float, float] = RULES[0][1], rule: str = NORM) -> np.ndarray:
     """Pack a histogram of lengths, longest first; rows: length, first rank, pieces, first bin, offset, pieces a bin.
 
     A bin's state is its residual vector (tokens, documents, attention). Among the states in which a piece fits
     under every capacity, `rule` selects: "residual_norm", the least weighted norm of what would be left, or
-    "dot_product", the greatest weighted product of residual and demand. Bins of equal state form a run, so the
-    work grows with the number of lengths, not of pieces. Ties go to the earliest run.
+    "dot_product", the greatest weighted product of residual and demand. Bins of equal state form a run and are
+    served together, so the work grows with the number of lengths, not of pieces. Ties go to the earliest run.
     """
-    if rule not in ("residual_norm", "dot_product"):
+    if rule not in (NORM, DOT):
         raise ValueError(f"unknown rule {rule}")
-    cap = np.array([bin.tokens, bin.documents, bin.attention], float)
-    weight = np.asarray(weights, float)
+    start = np.array([bin.tokens, bin.documents, bin.attention], np.int64)
+    cap, weight = start.astype(float), np.asarray(weights, float)
     room = np.zeros((256, 3), np.int64)  # residual vectors of the runs
     span = np.zeros((256, 2), np.int64)  # first bin, number of bins
     used = bins = 0
     rows: list[tuple] = []
-
-    def add(residual, first: int, number: int) -> None:
-        nonlocal room, span, used
-        if used == len(room):
-            room, span = np.concatenate([room, np.zeros_like(room)]), np.concatenate([span, np.zeros_like(span)])
-        room[used], span[used] = residual, (first, number)
-        used += 1
-
     for length in sorted(histogram, reverse=True):
         left, rank = int(histogram[length]), 0
         need = np.array([length, 1, length * length], np.int64)
-        if (need > cap).any():
+        if (need > start).any():
             raise ValueError(f"a piece of {length} tokens exceeds the capacities")
         while left:
             fits = np.flatnonzero((room[:used] >= need).all(1) & (span[:used, 1] > 0))
             if len(fits):
-                if rule == "residual_norm":
-                    run = fits[np.argmin((((room[fits] - need) / cap) ** 2 * weight).sum(1))]
-                else:
-                    run = fits[np.argmax((room[fits] / cap * (need / cap) * weight).sum(1))]
+                after, share = (room[fits] - need) / cap, room[fits] / cap * (need / cap)
+                run = fits[np.argmin((after**2 * weight).sum(1)) if rule == NORM else np.argmax((share * weight).sum(1))]
                 residual, first, number = room[run].copy(), int(span[run, 0]), int(span[run, 1])
-                each = int((residual // np.maximum(need, 1)).min()) if rule == "residual_norm" else 1
+                # the least norm only falls as a bin fills, so it takes all that fit; the greatest product falls too, so each takes one
+                each = int((residual // np.maximum(need, 1)).min()) if rule == NORM else 1
                 full = min(number, left // each)
                 took, each = (full, each) if full else (1, left)
                 span[run] = (first + took, number - took)
-            else:
-                residual, first = np.array([bin.tokens, bin.documents, bin.attention], np.int64), bins
-                each = int((residual // np.maximum(need, 1)).min()) if rule == "residual_norm" else 1
-                full = left // each if rule == "residual_norm" else 1
+            else:  # nothing but new bins can take this length until they are full, by either rule
+                residual, first = start.copy(), bins
+                each = int((residual // np.maximum(need, 1)).min())
+                full = left // each
                 took, each = (full, each) if full else (1, left)
                 bins += took
             rows.append((length, rank, took * each, first, bin.tokens - int(residual[0]), each))
-            add(residual - each * need, first, took)
+            if used == len(room):
+                room, span = np.concatenate([room, np.zeros_like(room)]), np.concatenate([span, np.zeros_like(span)])
+            room[used], span[used] = residual - each * need, (first, took)
+            used += 1
             rank += took * each
             left -= took * each
     return np.array(rows, np.int64).reshape(-1, 6)
 
 
-def pack(items: DataFrame, bin: Bin = Bin(), weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), rule: str = "residual_norm") -> DataFrame:
-    """Add sequence_id and offset (both bigint) to items with columns doc_id, piece and length.
+def bins_of(plan: np.ndarray) -> int:
+    return int((plan[:, 3] + -(-plan[:, 2] // plan[:, 5])).max()) if len(plan) else 0
+
+
+def best_plan(histogram: dict[int, int], bins: tuple[Bin, ...] = BINS, rules: tuple = RULES) -> tuple[Bin, np.ndarray]:
+    """The capacities and plan of fewest sequences; of equals the first rule's, and its first capacities.
+
+    Rules but the first are tried with the last, widest capacities only.
+    """
+    (rule, weights), *others = rules
+    found = [(b, best_fit(histogram, b, weights, rule)) for b in bins] + [(bins[-1], best_fit(histogram, bins[-1], w, r)) for r, w in others]
+    return min(found, key=lambda x: bins_of(x[1]))
+
+
+def pack(items: DataFrame, bins: tuple[Bin, ...] = BINS, rules: tuple = RULES) -> DataFrame:
+    """Add sequence_id and offset (both bigint) to items with columns doc_id, piece and length, by the best plan of bins and rules.
 
     Pieces of one length are alike, so only the histogram of lengths, bounded by the token capacity, is packed on
     the driver; each piece then finds its place by its rank among those of its length. Ranks come from salted
     groups and their prefix sums, so a length that a third of all rows share is still dealt over many tasks.
-    An empty table gives an empty table; repeated rows are pieces of their own. `items` is read twice.
+    An empty table gives an empty table; repeated rows are pieces of their own, and rows that agree in doc_id, piece
+    and start share their ranks in any order. `items` is read twice.
     """
     histogram = {int(r["length"]): r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = best_fit(histogram, bin, weights, rule)
+    plan = best_plan(histogram, bins, rules)[1]
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
     salts = max(64, 2 * shuffle_partitions(items.sparkSession))
     salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
@@ -142,6 +162,6 @@ def pack(items: DataFrame, bin: Bin = Bin(), weights: tuple[float, float, float]
     return map_arrow(ranked, per_slice, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", bin: Bin = Bin(), end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", bins: tuple[Bin, ...] = BINS, end_id: int = 0) -> DataFrame:
     """Tokenise, cut and pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialise(pieces(docs, tokenizer, bin.tokens, end_id)), bin)
+    return pack(materialise(pieces(docs, tokenizer, bins[-1].tokens, end_id)), bins)

@@ -8,12 +8,14 @@ the single shingles of the shorter prefix, whose inverted lists are scanned. The
 of least estimated cost. Within a list, a parity bitmap of every set gives a sure lower bound of the symmetric
 difference; sets that may link are chained. What is chained together is then compared exactly, once, and where sets
 already lie in one component the rest of their comparisons is left out. Lists and groups too large for a task are
-compared in pairs of blocks, so no task grows with the data and no link is lost.
+dealt in blocks that meet one common set first; what it doesn't join meets all blocks, so no task grows with the data
+and no link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import map_arrow, materialise, shuffle_partitions, text_bytes
+from recordloom.llm.common import map_arrow, materialise, most_frequent, shuffle_partitions, text_bytes
 from recordloom.llm.components import connected
 
 WORDS = 5
+#: Stands for a null doc_id, so that it comes last.
+NOBODY = (1 << 63) - 1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -73,18 +77,18 @@ def bitmap(shingles: np.ndarray) -> bytes:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, sid (hash of the set), n and its bitmap, for every document."""
+    """doc_id, _text (hash of the text), sid (hash of the set), n and its bitmap, for every document."""
 
     def per_slice():
         shingles = Shingler()
 
         def apply(batch: pa.RecordBatch) -> dict:
             sets = [shingles(t) for t in text_bytes(batch)]
-            return {"doc_id": batch.column("doc_id"), "sid": [set_id(s) for s in sets], "n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets]}
+            return {c: batch.column(c) for c in ("doc_id", "_text")} | {"sid": [set_id(s) for s in sets], "n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets]}
 
         return apply
 
-    return map_arrow(docs, per_slice, "doc_id bigint, sid bigint, n int, bits binary", "text")
+    return map_arrow(docs, per_slice, "doc_id bigint, _text bigint, sid bigint, n int, bits binary", "text")
 
 
 def _distinct_sets(shingles: Shingler, seen: set, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -239,15 +243,6 @@ def _streamed(rows: DataFrame, per_slice, schema: str) -> DataFrame:
     return rows.mapInArrow(run, struct)
 
 
-def in_blocks(rows: DataFrame, group: str, key: str, weight: Column, most: int) -> DataFrame:
-    """Add _task: the group itself, or for a group of over `most` weight, each pair of its blocks of about `most`."""
-    large = rows.groupBy(group).agg(F.sum(weight).alias("_total")).where(F.col("_total") > most).select(group, F.ceil(F.col("_total") / most).cast("int").alias("_blocks"))
-    own = F.pmod(F.xxhash64(key, F.lit("block")), F.col("_blocks"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least(own, j.cast("bigint")).alias("i"), F.greatest(own, j.cast("bigint")).alias("j")))
-    spread = rows.join(large, group, "left").withColumn("_pair", F.explode(F.when(F.col("_blocks").isNull(), F.array(F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j")))).otherwise(pairs)))
-    return spread.withColumn("_task", F.xxhash64(group, "_pair.i", "_pair.j")).drop("_blocks", "_pair")
-
-
 def _groups(columns: list[str], solve) -> object:
     """A streaming function over rows sorted by _task: gathers each task's rows and yields the edges that solve finds."""
 
@@ -335,10 +330,10 @@ def linked(rows: list) -> Iterator[tuple[int, int]]:
             free = kept[here & ~near]
 
 
-def likely_in(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 1 << 25) -> DataFrame:
-    """Rows whose key may be in `wanted`: a hashed bitmap of bits / 8 bytes (4 MB), whatever the input's size, is broadcast.
+def with_likely(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """Rows with _may: whether their key may be among the one column of `wanted`. Never false for one that is.
 
-    No wanted row is lost; rows let through by mistake fall out in the join behind it.
+    A hashed bitmap of bits / 8 bytes (4 MB), whatever the input's size, is broadcast.
     """
 
     def slot(key: Column) -> Column:
@@ -346,9 +341,52 @@ def likely_in(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 1 <<
 
     place = slot(F.col(wanted.columns[0]))
     maps = wanted.select((place / 32768).cast("bigint").alias("_map"), (place % 32768).cast("bigint").alias("_at")).groupBy("_map").agg(F.bitmap_construct_agg("_at").alias("_bits"))
-    marked = rows.withColumn("_slot", slot(F.col(column))).join(F.broadcast(maps), F.floor(F.col("_slot") / 32768) == F.col("_map"))
+    marked = rows.withColumn("_slot", slot(F.col(column))).join(F.broadcast(maps), F.floor(F.col("_slot") / 32768) == F.col("_map"), "left")
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_slot % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return marked.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_slot % 8 as int))")) != 0).select(*rows.columns)
+    return marked.select(*rows.columns, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_slot % 8 as int))")) != 0, F.lit(False)).alias("_may"))
+
+
+def likely_in(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key may be in `wanted`; those let through by mistake fall out in the join behind it."""
+    return with_likely(rows, column, wanted).where("_may").drop("_may")
+
+
+def _links_within(rows: DataFrame, payload: list[str], weight: Column, most: int, solve, attach=lambda tasks: tasks) -> DataFrame:
+    """Edges (a, b) of sets by sid that `solve` finds within each group of rows (group, sid), once `attach` has added the payload.
+
+    A group of over `most` weight is dealt in blocks. Each block is solved along with the group's set of least sid;
+    where that joins all, nothing more is to do. Else only sets outside the group's largest component meet all the
+    blocks, so a large group of likes costs its size, not its square, and no link is lost.
+    """
+    by, columns = shuffle_partitions(rows.sparkSession), ["sid", *payload]
+
+    def solved(tasks: DataFrame) -> DataFrame:
+        dealt = attach(tasks).select("_task", *columns).repartition(by, "_task").sortWithinPartitions("_task", "sid")
+        return map_arrow(dealt, _groups(columns, solve), "a bigint, b bigint", payload[-1])
+
+    large = materialise(rows.groupBy("group").agg(F.sum(weight).alias("_total"), F.min("sid").alias("_least")).where(F.col("_total") > most).select("group", "_least", F.ceil(F.col("_total") / most).cast("int").alias("_blocks")))
+    if large.isEmpty():
+        return solved(rows.withColumn("_task", F.xxhash64("group")))
+    held = rows.join(large, "group", "left")
+    own = F.pmod(F.xxhash64("sid", F.lit("block")), F.col("_blocks")).cast("int")
+    everywhere = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    block = F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).when(F.col("sid") == F.col("_least"), everywhere).otherwise(F.array(own)))
+    edges = materialise(solved(held.withColumn("_block", block).withColumn("_task", F.xxhash64("group", "_block"))))
+    members = rows.join(large, "group").select("group", "sid", "_blocks")
+    labelled = members.join(connected(edges), F.col("sid") == F.col("node"), "left").select("group", "sid", "_blocks", F.coalesce("label", "sid").alias("_part"))
+    sizes = labelled.groupBy("group", "_part").agg(F.count("*").alias("_n"))
+    main = sizes.groupBy("group").agg(F.max_by("_part", F.struct("_n", "_part")).alias("_main"), F.count("*").alias("_parts")).where("_parts > 1")
+    apart = materialise(labelled.join(main, "group").select("group", "sid", "_blocks", (F.col("_part") != F.col("_main")).alias("_out")))
+    outside = apart.where("_out").groupBy("group").agg(F.count("*").alias("_k"))
+    if outside.isEmpty():
+        return edges
+    # outside sets are dealt in lots (i), all sets in blocks (j): every outside set meets every set in one task
+    ways = apart.join(outside, "group").join(rows, ["group", "sid"])
+    lots = F.greatest(F.ceil(F.col("_k") / F.lit(most)).cast("int"), F.lit(1))
+    lot = F.pmod(F.xxhash64("sid", F.lit("lot")), lots).cast("int")
+    inner = ways.where("_out").withColumn("_i", lot).withColumn("_j", F.explode(everywhere))
+    outer = ways.withColumn("_j", own).withColumn("_i", F.explode(F.sequence(F.lit(0), lots - 1))).where(~F.col("_out") | (F.col("_i") != lot))
+    return edges.union(solved(inner.unionByName(outer).withColumn("_task", F.xxhash64("group", "_i", "_j"))))
 
 
 def components(docs: DataFrame, heavy_tokens: int = 131_072, heavy_from: int = 8, list_most: int = 4096, task_shingles: int = 2_000_000) -> DataFrame:
@@ -356,42 +394,62 @@ def components(docs: DataFrame, heavy_tokens: int = 131_072, heavy_from: int = 8
 
     Two documents link when their sets of WORDS-word shingles have a Jaccard similarity of 0.75 or more. ASCII upper
     case is folded; a text of fewer words is one shingle; without words or text the set is empty and links with
-    nothing. A null doc_id gets a component of its own (null), yet copies of its text still meet. Repeated rows come
-    out repeatedly; other columns are ignored. The order of shingles takes only its speed, never its results, from
-    the heavy_tokens most frequent ones.
+    nothing. Links run between rows, whatever their doc_id: rows of one doc_id with different texts link each for
+    itself, and a row of a null doc_id passes links on; its own component is the least doc_id it reaches, null if none.
+    Repeated rows come out repeatedly; other columns are ignored. A very long text is held whole, as one set, by the
+    task that reads it. The order of shingles takes only its speed, never its results, from the heavy_tokens most
+    frequent ones.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    sets, final = _labelled(docs, heavy_tokens, heavy_from, list_most, task_shingles)
+    return sets.join(final, ["sid", "n"], "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _labelled(docs: DataFrame, heavy_tokens: int = 131_072, heavy_from: int = 8, list_most: int = 4096, task_shingles: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and of each distinct set its component's least doc_id and (id, hash of text) of its first row."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("_text", F.xxhash64("text"))
     sets = materialise(sets_of(docs))
-    classes = sets.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
+    nobody = F.lit(NOBODY)
+    pick = F.min(F.struct(F.coalesce("doc_id", nobody).alias("id"), F.col("_text").alias("text")))
+    classes = sets.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), pick.alias("pick"), F.first("bits").alias("bits"))
     counts = prefix_counts(docs)
     frequent = materialise(counts.where(F.col("c") >= heavy_from))
-    heavy = frequent.orderBy(F.desc("c"), "token").limit(heavy_tokens).toArrow()
+    heavy = most_frequent(frequent, "c", ["token"], heavy_tokens).toArrow()
     tokens = np.sort(np.asarray(heavy["token"], np.int64).view(np.uint64))
     sizes = {int(r["n"]): r["k"] for r in sets.groupBy("n").agg(F.count("*").alias("k")).collect()}
     rest = frequent.agg(F.coalesce(F.sum(F.when(F.col("c") < int(min(np.asarray(heavy["c"]), default=0)) + 1, F.col("c") * F.col("c"))), F.lit(0)).alias("s")).first()["s"]
     entries = sum(k * (n - overlap(n) + 1) for n, k in sizes.items())
     small = boundary(sizes, float(rest) / max(1, entries))
-    lists = materialise(lists_of(postings(docs, tokens, small), list_most))
-    with_bits = in_blocks(lists, "list", "sid", F.lit(1), list_most).join(classes.select("sid", "n", "bits"), ["sid", "n"])
-    tasks = with_bits.select("_task", "sid", "n", "bits").repartition(shuffle_partitions(docs.sparkSession), "_task").sortWithinPartitions("_task", "sid")
-    glued = connected(map_arrow(tasks, _groups(["sid", "n", "bits"], may_link), "a bigint, b bigint"))
-    groups = materialise(glued.join(classes.select("sid", "n", "rep"), F.col("node") == F.col("sid")).select("rep", "n", F.col("label").alias("group")))
-    texts = likely_in(docs, "doc_id", groups.select("rep")).join(groups, F.col("doc_id") == F.col("rep")).select("rep", "n", "group", "text").dropDuplicates(["rep"])
+    lists = materialise(lists_of(postings(docs, tokens, small), list_most)).withColumnRenamed("list", "group")
+    glued = connected(_links_within(lists, ["n", "bits"], F.lit(1), list_most, may_link, lambda tasks: tasks.join(classes.select("sid", "n", "bits"), ["sid", "n"])))
+    groups = materialise(glued.join(classes.select("sid", "n", "pick"), F.col("node") == F.col("sid")).select("sid", "n", "pick", F.col("label").alias("group")))
+    here = docs.withColumn("_id", F.coalesce("doc_id", nobody))
+    texts = likely_in(here, "_text", groups.select("pick.text")).join(groups, (F.col("_id") == F.col("pick.id")) & (F.col("_text") == F.col("pick.text"))).select("sid", "n", "group", "text").dropDuplicates(["sid"])
 
     def per_slice():
         shingles = Shingler()
-        return lambda batch: {c: batch.column(c) for c in ("rep", "n", "group")} | {"shingles": [shingles(t).tobytes() for t in text_bytes(batch)]}
+        return lambda batch: {c: batch.column(c) for c in ("group", "sid", "n")} | {"shingles": [shingles(t).tobytes() for t in text_bytes(batch)]}
 
-    arrays = map_arrow(texts, per_slice, "rep bigint, n int, group bigint, shingles binary", "text")
-    blocks = in_blocks(groups, "group", "rep", F.col("n"), task_shingles).select("rep", "_task")
-    exact = arrays.join(blocks, "rep").select("_task", "rep", "shingles").repartition(shuffle_partitions(docs.sparkSession), "_task").sortWithinPartitions("_task", "rep")
-    labels = connected(map_arrow(exact, _groups(["rep", "shingles"], linked), "a bigint, b bigint", "shingles"))
-    final = classes.select("sid", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("sid", "n", F.coalesce("label", "rep").alias("component"))
-    return sets.join(final, ["sid", "n"], "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    arrays = materialise(map_arrow(texts, per_slice, "group bigint, sid bigint, n int, shingles binary", "text"))
+    labels = materialise(connected(_links_within(arrays, ["shingles"], F.col("n"), task_shingles, linked)))
+    least = labels.join(classes.select("sid", "rep", "pick"), F.col("node") == F.col("sid")).groupBy("label").agg(F.min("rep").alias("component"), F.min("pick").alias("chosen"))
+    reached = labels.join(least, "label").select(F.col("node").alias("sid"), "component", "chosen")
+    return sets, classes.select("sid", "n", "rep", "pick").join(reached, "sid", "left").select("sid", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("chosen", "pick").alias("chosen"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the least doc_id, with all its columns; rows without doc_id stay."""
-    found = components(docs)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component with all its columns: that of the least doc_id (null last), then of the least hash of its text.
+
+    Of rows repeated with doc_id and text one stays. A text without words links with nothing and stays, null too, as
+    does every row of an empty table. Columns may have any names. Texts that nothing speaks against don't cross the
+    network: a broadcast bitmap sifts out what may have to go.
+    """
+    sets, final = _labelled(docs)
+    rows = sets.where("n > 0").join(final, ["sid", "n"]).select(F.struct(F.coalesce("doc_id", F.lit(NOBODY)).alias("id"), F.col("_text").alias("text")).alias("own"), "chosen")
+    decided = materialise(rows.groupBy("own").agg(F.count("*").alias("k"), F.first(F.col("own") == F.col("chosen")).alias("first")).where("NOT first OR k > 1").select("own.id", "own.text", "first", F.xxhash64("own.id", "own.text").alias("key")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NOBODY)).alias("id"), F.xxhash64("text").alias("text"))
+    sifted = with_likely(packed.withColumn("key", F.xxhash64("id", "text")), "key", decided.select("key"))
+    doubtful = sifted.where("_may").join(decided.drop("key"), ["id", "text"], "left")
+    parts = [sifted.where("NOT _may").select("_row"), doubtful.where("first IS NULL").select("_row")]
+    if not decided.where("first").isEmpty():
+        parts.append(doubtful.where("first").dropDuplicates(["id", "text"]).select("_row"))
+    return reduce(DataFrame.union, parts).select("_row.*")

@@ -46,21 +46,62 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_packing(docs, empty):
-    bins = packing.Bin(tokens=64, documents=5, attention=3000)
-    rows = packing.pack(packing.pieces(docs, capacity=48), bins).collect()
-    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    want = sum(-(-(len(t.encode(r.text or "", add_special_tokens=False).ids) + 1) // 48) for r in docs.collect())
-    assert len(rows) == want
+def _check_bins(rows, bins):
     by = {}
     for r in rows:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for items in by.values():
         items.sort()
         assert [o for o, _ in items] == [sum(n for _, n in items[:k]) for k in range(len(items))]
-        assert sum(n for _, n in items) <= 64 and len(items) <= 5 and sum(n * n for _, n in items) <= 3000
+        assert sum(n for _, n in items) <= bins.tokens and len(items) <= bins.documents and sum(n * n for _, n in items) <= bins.attention
+    return len(by)
+
+
+@pytest.mark.parametrize("rule", packing.RULES)
+def test_packing(docs, empty, rule):
+    """Every piece of every document by the tokenizers library, under all three capacities, by both rules."""
+    bins = packing.Bin(tokens=64, documents=5, attention=3000)
+    rows = packing.pack(packing.pieces(docs, capacity=48), (bins,), (rule,)).collect()
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = []
+    for r in docs.collect():
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want += [(r.doc_id if r.doc_id is not None else -1, k // 48, k, len(ids[k : k + 48]), zlib.crc32(np.array(ids[k : k + 48], "<u4").tobytes())) for k in range(0, len(ids), 48)]
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
+    _check_bins(rows, bins)
     assert packing.pack_documents(empty).count() == 0
-    assert len(packing.best_fit({1: 7}, packing.Bin(4, 4, 16), rule="dot_product")) > 0
+
+
+def test_best_fit_serves_bins_one_by_one():
+    """Runs of equal bins give what serving every piece alone gives, by either rule."""
+    rng = random.Random(8)
+    bins = packing.Bin(40, 6, 900)
+    for rule, weights in packing.RULES:
+        lengths = sorted((rng.randint(1, 30) for _ in range(300)), reverse=True)
+        rooms = []
+        for n in lengths:
+            need = (n, 1, n * n)
+            fits = [r for r in rooms if all(a >= b for a, b in zip(r, need, strict=True))]
+            if not fits:
+                rooms.append([bins.tokens - n, bins.documents - 1, bins.attention - n * n])
+                continue
+            cap = (bins.tokens, bins.documents, bins.attention)
+            if rule == packing.NORM:
+                best = min(fits, key=lambda r: sum(w * ((a - b) / c) ** 2 for w, a, b, c in zip(weights, r, need, cap, strict=True)))
+            else:
+                best = max(fits, key=lambda r: sum(w * a / c * b / c for w, a, b, c in zip(weights, r, need, cap, strict=True)))
+            best[:] = [a - b for a, b in zip(best, need, strict=True)]
+        plan = packing.best_fit({n: lengths.count(n) for n in set(lengths)}, bins, weights, rule)
+        assert packing.bins_of(plan) <= len(rooms) + 1 and plan[:, 2].sum() == 300
+    assert len(packing.best_fit({5: 100_000}, bins, rule=packing.DOT)) < 20
+
+
+def test_tight_capacities_cost_no_sequence():
+    histogram = {1: 5000, 3: 4000, 700: 30, 2048: 3}
+    bins, plan = packing.best_plan(histogram)
+    assert packing.bins_of(plan) == min(packing.bins_of(packing.best_fit(histogram, b)) for b in packing.BINS)
+    wide = packing.best_plan({900: 10, 5: 100})
+    assert wide[0].documents == 256
 
 
 def test_encoding(docs, empty):
@@ -275,6 +316,30 @@ def test_shingle_join(spark, empty, sizes):
         assert shingle_join.components(empty).count() == 0
 
 
+def test_shingle_join_keeps_links_of_repeated_and_missing_ids(spark):
+    """Rows of one doc_id with two texts, and a row without doc_id, pass links on."""
+    rng = random.Random(12)
+    a, b, c = (rng.sample([f"w{k}" for k in range(300)], 60) for _ in range(3))
+    rows = [(5, a), (5, b), (7, [*a, "x"]), (9, [*b, "y"]), (None, c), (20, c[:52]), (30, [*c, *"defghijk"]), (40, a), (40, a)]
+    docs = spark.createDataFrame([(i, " ".join(w), 1, 2) for i, w in rows], "doc_id bigint, text string, sid int, _row int")
+    got = sorted((r.doc_id or 0, r.component_id) for r in shingle_join.components(docs).collect())
+    assert got == [(0, 20), (5, 5), (5, 5), (7, 5), (9, 5), (20, 20), (30, 20), (40, 5), (40, 5)]
+    kept = shingle_join.keep_one(docs)
+    # two different texts under one doc_id are two groups' firsts
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, " ".join(a)), (5, " ".join(b)), (20, " ".join(c[:52]))])
+    again = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "three"), (None, "three"), (2, ""), (3, None), (None, None)], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in shingle_join.keep_one(again).collect()) == [(0, ""), (0, "three"), (1, "one two"), (2, ""), (3, "")]
+
+
+def test_large_groups_lose_no_link(spark):
+    """A chain of near copies, whose ends share nothing with the first, in groups of many blocks."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[2 * k : 2 * k + 60])) for k in range(150)] + [(500 + k, " ".join(words[:50] + [f"x{k}"])) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.components(docs, 8, 2, 5, 200).collect()}
+    assert got == brute(rows)
+
+
 def test_components_are_never_left_unfinished(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
     assert {tuple(r) for r in connected(path).collect()} == {(i, 0) for i in range(41)}
