@@ -24,10 +24,25 @@ def string(sources: list[tuple[Column, str | None]], size: int, target: Column |
 
 
 def string_overflow(sources: list[tuple[Column, str | None]], size: int, pointer: Column) -> Column:
+    return (pointer < 1) | (pointer - 1 + joined_length(sources) > size)
+
+
+def joined_length(sources: list[tuple[Column, str | None]]) -> Column:
+    """By how much STRING moves its pointer on."""
     total = F.lit(0)
     for s, d in sources:
         total = total + F.length(F.substring_index(s, d, 1) if d else s)
-    return (pointer < 1) | (pointer - 1 + total > size)
+    return total
+
+
+def consumed(s: Column, delimiters: list[str], fields: int, every: bool = False) -> Column:
+    """By how much UNSTRING into that many fields moves its pointer on: their characters and the delimiters behind them."""
+    if not delimiters:
+        return F.length(s)
+    pattern = "|".join(map(_quoted, delimiters))
+    ends = f"(?:{pattern})+" if every else f"(?:{pattern})"
+    head = F.regexp_extract(s, f"(?s)^((?:(?:(?!{pattern}).)*{ends}){{{fields}}})", 1)
+    return F.when(F.size(parts(s, delimiters, every)) > fields, F.length(head)).otherwise(F.length(s))
 
 
 def parts(s: Column, delimiters: list[str], every: bool = False) -> Column:

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.operators.ordering import numbered
+
 
 @dataclass
 class Report:
@@ -27,17 +29,26 @@ def footings(df: DataFrame, report: Report) -> DataFrame:
 
 
 def breaks(df: DataFrame, report: Report, order: list[str], partition: list[str] | None = None) -> DataFrame:
-    """Details with the highest control that changed before them (0: none), page and line; within `partition`, if given."""
-    w = (Window.partitionBy(*partition) if partition else Window).orderBy(*order)
-    out = df.withColumn("_rn", F.row_number().over(w))
+    """Details with the highest control that changed before them (0: none), page and line; within `partition`, if given.
+
+    Without a partition places come from ranges of the order, and a row's predecessor from a join on its place, so
+    no task holds all details.
+    """
+    if partition:
+        w = Window.partitionBy(*partition).orderBy(*order)
+        out = df.withColumn("_rn", F.row_number().over(w))
+        before = [F.lag(c).over(w) for c in report.controls]
+    else:
+        out = numbered(df, [F.col(c).asc() for c in order], "_rn")
+        out = out.join(out.select((F.col("_rn") + 1).alias("_rn"), *[F.col(c).alias(f"_before_{i}") for i, c in enumerate(report.controls)]), "_rn", "left")
+        before = [F.col(f"_before_{i}") for i in range(len(report.controls))]
     level = F.lit(0)
     for i in reversed(range(len(report.controls))):
-        c = report.controls[i]
-        level = F.when((F.col("_rn") == 1) | ~F.lag(c).over(w).eqNullSafe(F.col(c)), i + 1).otherwise(level)
+        level = F.when((F.col("_rn") == 1) | ~before[i].eqNullSafe(F.col(report.controls[i])), i + 1).otherwise(level)
     out = out.withColumn("break_control", level)
     if report.page:
         out = out.withColumn("page", F.floor((F.col("_rn") - 1) / report.page).cast("int") + 1).withColumn("line", ((F.col("_rn") - 1) % report.page).cast("int") + 1)
-    return out.drop("_rn")
+    return out.drop("_rn", *[f"_before_{i}" for i in range(len(report.controls))])
 
 
 def line(columns: list[tuple[int, Column]], width: int) -> Column:

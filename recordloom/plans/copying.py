@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,26 +14,60 @@ from pyspark.sql import functions as F
 ENDINGS = ("", ".cpy", ".cbl", ".cob", ".cobol", ".copy")
 
 _COPY = re.compile(r"(?im)^(?P<lead>(?:.{6} )?[ \t]*)COPY\s+[\"']?(?P<name>[\w.-]+?)[\"']?(?:\s+(?:OF|IN)\s+[\w-]+)?(?P<rest>\s+(?:REPLACING|SUPPRESS)\b(?:==.*?==|[^.=])*?)?\s*\.[ \t]*$", re.S)
-_PSEUDO = re.compile(r"(?:(LEADING|TRAILING)\s+)?==(.*?)==\s+BY\s+==(.*?)==", re.I | re.S)
-_WORDS = re.compile(r"(\"[^\"]*\"|'[^']*'|[\w-]+)\s+BY\s+(\"[^\"]*\"|'[^']*'|[\w-]+)", re.I)
-_WORD = "[A-Za-z0-9-]"
-
-
-def replacements(clause: str) -> list[tuple[str, str, str]]:
-    """(old, new, FULL | LEADING | TRAILING) of a REPLACING clause; white space in pseudo-text counts as one blank."""
-    pseudo = [(" ".join(o.split()), " ".join(n.split()), (how or "FULL").upper()) for how, o, n in _PSEUDO.findall(clause)]
-    found = pseudo or [(o, n, "FULL") for o, n in _WORDS.findall(re.sub(r"(?i)^\s*REPLACING\b", "", clause))]
-    return [x for x in found if x[0]]
-
-
-def replacing(text: str, changes: list[tuple[str, str, str]]) -> str:
-    for old, new, how in changes:
-        if how == "FULL":
-            text = text.replace(old, new)
-            continue
-        edge = rf"(?<!{_WORD}){re.escape(old)}(?={_WORD})" if how == "LEADING" else rf"(?<={_WORD}){re.escape(old)}(?!{_WORD})"
-        text = re.sub(edge, lambda _, new=new: new, text)
-    return text
+#: Text-words: literals, words (hyphens and all), or single marks; white space parts them and doesn't count.
+_TEXT_WORD = re.compile(r"\"[^\"]*\"|'[^']*'|[\w-]+|[^\s\w]")
+
+
+@dataclass(frozen=True)
+class Substitution:
+    """What a REPLACING phrase asks for: a sequence of text-words gives way to a text; `part` is where in a word it may stand."""
+
+    wanted: tuple[str, ...]
+    text: str
+    part: str = "whole"  # or its head, or its tail
+
+    def apply(self, words: list[str], at: int) -> tuple[int, str] | None:
+        """How many text-words from `at` on it takes, and what stands for them; None where it doesn't match."""
+        if self.part == "whole":
+            n = len(self.wanted)
+            same = [w.upper() for w in words[at : at + n]] == [w.upper() for w in self.wanted]
+            return (n, self.text) if n and same else None
+        word, piece = words[at], "".join(self.wanted)
+        if len(word) <= len(piece) or not piece:
+            return None
+        if self.part == "head":
+            return (1, self.text + word[len(piece) :]) if word.upper().startswith(piece.upper()) else None
+        return (1, word[: -len(piece)] + self.text) if word.upper().endswith(piece.upper()) else None
+
+
+def substitutions(clause: str) -> list[Substitution]:
+    """The phrases of a REPLACING clause, read operand by operand: ==pseudo-text==, a literal or a word, BY another."""
+    operands = re.findall(r"==(.*?)==|(\"[^\"]*\"|'[^']*'|[\w-]+)", re.sub(r"(?i)^\s*(SUPPRESS\s+)?(REPLACING\b)?", "", clause), re.S)
+    out, part, before = [], "whole", None
+    waiting = False
+    for pseudo, word in operands:
+        if before is None and word.upper() in ("LEADING", "TRAILING"):
+            part = "head" if word.upper() == "LEADING" else "tail"
+        elif before is not None and not waiting and word.upper() == "BY":
+            waiting = True
+        elif waiting:
+            out.append(Substitution(tuple(_TEXT_WORD.findall(before)), " ".join(pseudo.split()) if not word else word, part))
+            part, before, waiting = "whole", None, False
+        else:
+            before = word or pseudo
+    return [x for x in out if x.wanted]
+
+
+def replacing(text: str, changes: list[Substitution]) -> str:
+    """The text with its text-words replaced from left to right; at each place the first phrase that matches counts, and what it puts there isn't read again."""
+    places = list(_TEXT_WORD.finditer(text))
+    words, out, end, i = [m[0] for m in places], [], 0, 0
+    while i < len(places):
+        hit = next((x for x in (c.apply(words, i) for c in changes) if x), (1, words[i]))
+        out += [text[end : places[i].start()], hit[1]]
+        i += hit[0]
+        end = places[i - 1].end()
+    return "".join([*out, text[end:]])
 
 
 def stem(name: str) -> str:
@@ -42,15 +77,15 @@ def stem(name: str) -> str:
 
 
 def expand(text: str, books: Mapping[str, str], inside: frozenset[str] = frozenset()) -> str:
-    """The text with its copybooks, inner ones first; a missing or circular one leaves a comment line."""
+    """The text with its copybooks, inner ones first; for a missing one, or one that would copy itself, a comment line stays."""
 
     def put(m: re.Match) -> str:
         key = stem(m["name"])
         if key in inside:
-            return f"      * COPY {m['name']} -- CIRCULAR DEPENDENCY (skipped)"
+            return f"      * left out: copybook {m['name']} copies itself"
         if key not in books:
-            return f"      * COPY {m['name']} -- NOT FOUND"
-        return replacing(expand(books[key], books, inside | {key}), replacements(m["rest"] or "")).rstrip("\n")
+            return f"      * no copybook {m['name']}"
+        return replacing(expand(books[key], books, inside | {key}), substitutions(m["rest"] or "")).rstrip("\n")
 
     return _COPY.sub(put, text)
 

@@ -14,7 +14,10 @@ from recordloom.functions.semantics import equal, is_alphabetic, is_numeric
 
 _TOKEN = re.compile(r"\s*(?:(\"[^\"]*\"|'[^']*')|(\d+\.\d+|\.\d+|\d+(?![\w-]))|([A-Za-z0-9][\w-]*)|(\*\*|>=|<=|<>|[-+*/()=<>,:]))")
 FIGURATIVE = {"ZERO": 0, "ZEROS": 0, "ZEROES": 0, "SPACE": " ", "SPACES": " ", "HIGH-VALUE": "\xff", "HIGH-VALUES": "\xff", "LOW-VALUE": "\x00", "LOW-VALUES": "\x00", "QUOTE": '"', "QUOTES": '"'}
-BITS = {"B-AND": "bitwiseAND", "B-OR": "bitwiseOR", "B-XOR": "bitwiseXOR"}
+BITS: dict[str, Callable[[Column, Column], Column]] = {
+    "B-AND": lambda a, b: a.bitwiseAND(b), "B-OR": lambda a, b: a.bitwiseOR(b), "B-XOR": lambda a, b: a.bitwiseXOR(b),
+    "B-SHIFT-L": lambda a, b: F.call_function("shiftleft", a, b.cast("int")), "B-SHIFT-R": lambda a, b: F.call_function("shiftright", a, b.cast("int")),
+}
 
 
 class Parser:
@@ -55,7 +58,7 @@ class Parser:
             sign = self.peek()
             self.at += 1
             right = self.product()
-            left = left + right if sign == "+" else left - right if sign == "-" else getattr(left.cast("bigint"), BITS[sign])(right.cast("bigint"))
+            left = left + right if sign == "+" else left - right if sign == "-" else BITS[sign](left.cast("bigint"), right.cast("bigint"))
         return left
 
     def product(self) -> Column:
@@ -113,7 +116,8 @@ class Parser:
         first = self.sum()
         if self.take(":"):
             size = None if self.peek() == ")" else self.sum()
-            column = column.cast("string").substr(first.cast("int"), F.lit(1 << 20) if size is None else size.cast("int"))
+            text = column.cast("string")
+            column = text.substr(first.cast("int"), F.length(text) if size is None else size.cast("int"))
         else:
             column = F.element_at(column, first.cast("int"))
             while self.peek() not in (")", ""):

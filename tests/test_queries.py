@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from recordloom.queries import oracle_sql, queries
@@ -26,6 +27,6 @@ def test_against_sql(spark, duck, name):
     assert columns == sorted(theirs.columns)
 
     def rows(df):
-        return sorted(tuple("" if v is None or v != v else str(float(v)) if not isinstance(v, (str, bool)) and type(v).__name__ != "bool_" else str(v) for v in r) for r in df[columns].itertuples(index=False))
+        return sorted(tuple("" if pd.isna(v) else str(float(v)) if not isinstance(v, (str, bool)) and type(v).__name__ != "bool_" else str(v) for v in r) for r in df[columns].itertuples(index=False))
 
     assert rows(ours) == rows(theirs)

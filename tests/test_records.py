@@ -130,8 +130,9 @@ def test_copy(spark):
     text = "       COPY A REPLACING ==:T:== BY ==CUST==\n           LEADING ==OLD== BY ==NEW== TRAILING ==OLD== BY ==END==.\n       COPY GONE.\n       MOVE 1 TO COPY-X.\n"
     want = copying.expand(text, books)
     assert "01 CUST-REC." in want and "05 NEW-ID" in want and "05 X-END" in want
-    assert "CIRCULAR" in want and "GONE -- NOT FOUND" in want and "MOVE 1 TO COPY-X." in want
-    assert copying.replacements(" REPLACING A BY B 'C' BY 'D'") == [("A", "B", "FULL"), ("'C'", "'D'", "FULL")]
+    assert "copybook A copies itself" in want and "no copybook GONE" in want and "MOVE 1 TO COPY-X." in want
+    words = copying.substitutions(" REPLACING A BY B 'C' BY 'D' ==X Y== BY ====")
+    assert copying.replacing("A-BALANCE OF A. MOVE 'C' TO\n   x\n  Y Z", words) == "A-BALANCE OF B. MOVE 'D' TO\n    Z"
     files = spark.createDataFrame([("p/x.cob", text), ("p/y.cob", None)], "path string, text string")
     shelf = spark.createDataFrame([("lib/A.cpy", books["a"]), ("lib/a.copy", "other"), ("lib/B.CBL", books["b"]), ("lib/C", "unused")], "path string, text string")
     assert {r.path: r.text for r in copying.expand_files(files, shelf).collect()} == {"p/x.cob": want, "p/y.cob": ""}
@@ -201,7 +202,82 @@ def test_procedure(spark):
     assert out[3] == (Decimal("5.00"), "DONE", 10, 3, 2)
 
 
-@pytest.mark.parametrize("text", ["P.\n  READ F.", "P.\n  GO TO Q.", "P.\n  PERFORM P.", "P.\n  MOVE 1 TO NONE.", "P.\n  PERFORM P UNTIL N > 3.", "P.\n  MOVE 1 TO N ELSE."])
+@pytest.mark.parametrize("text", ["P.\n  READ F.", "P.\n  GO TO Q.", "P.\n  PERFORM P.", "P.\n  MOVE 1 TO NONE.", "P.\n  PERFORM P UNTIL N > 3.", "P.\n  MOVE 1 TO N ELSE.", "P.\n  SET IS-DONE TO FALSE.", "P.\n  CALL 'GONE'.", "P.\n  EXIT PERFORM.", "P.\n  ACCEPT N."])
 def test_procedure_rejects(spark, text):
     with pytest.raises(Unsupported):
         Program(text, parse_records(STORE)).apply(spark.createDataFrame([(1,)], "n int"))
+
+
+WORK = """
+01 W.
+   05 N PIC 9(4).
+   05 I PIC 9(3).
+   05 J PIC 9(3).
+   05 TXT PIC X(20).
+   05 A PIC X(6).
+   05 B PIC X(6).
+   05 C PIC 9(3).
+   05 P PIC 9(2) VALUE 1.
+   05 T PIC 9(2).
+   05 SHOWN PIC ZZ9.99-.
+"""
+
+
+def run(spark, text, rows, **more):
+    return Program(text, parse_records(WORK), **more).apply(spark.createDataFrame(rows, "n int")).orderBy("n").collect()
+
+
+def test_loops_within_a_record(spark):
+    text = """
+    MAIN.
+        PERFORM VARYING I FROM 1 BY 1 UNTIL I > N
+            IF I = 5 EXIT PERFORM END-IF
+            ADD I TO C
+        END-PERFORM
+        PERFORM ADD-J WITH TEST AFTER UNTIL J > 2
+        PERFORM VARYING I FROM 1 BY 1 UNTIL I > 3 AFTER J FROM 1 BY 1 UNTIL J > I
+            ADD 1 TO T
+        END-PERFORM.
+        PERFORM N TIMES SUBTRACT 1 FROM P END-PERFORM.
+    ADD-J.
+        ADD 3 TO J.
+    """
+    got = [(r.n, int(r.c), int(r.j), int(r.i), int(r.t), int(r.p)) for r in run(spark, text, [(0,), (3,), (9,)], passes=30)]
+    # P is unsigned, so 1 - 1 - 1 is 1 again
+    assert [g[:2] for g in got] == [(0, 0), (3, 6), (9, 10)]
+    assert {g[3:5] for g in got} == {(4, 6)} and [g[5] for g in got] == [1, 0, 0]
+    with pytest.raises(Exception, match="not over after"):
+        run(spark, "M.\n PERFORM UNTIL N > 99 ADD 0 TO N END-PERFORM.", [(1,)], passes=5)
+
+
+def test_strings_within_a_record(spark):
+    text = """
+    MAIN.
+        MOVE "ALPHA,BETA;;7" TO TXT.
+        UNSTRING TXT DELIMITED BY "," OR ALL ";" INTO A B C WITH POINTER P TALLYING IN T
+            ON OVERFLOW MOVE 99 TO I END-UNSTRING.
+        MOVE SPACES TO TXT. MOVE 3 TO J.
+        STRING A DELIMITED BY SPACE "-" B DELIMITED BY SIZE INTO TXT WITH POINTER J.
+        INSPECT TXT TALLYING I FOR ALL "A" BEFORE INITIAL "-" REPLACING LEADING " " BY "*".
+        INSPECT A CONVERTING "ALPH" TO "1234".
+        MOVE -7.256 TO SHOWN.
+        DISPLAY "N=" N " " SHOWN.
+        IF N = 2 STOP RUN.
+        DISPLAY "AFTER".
+        MOVE 50 TO T.
+    """
+    one, two = run(spark, text, [(1,), (2,)])
+    assert (one.a, one.b, int(one.c), int(one.p), int(one.t)) == ("12341 ", "BETA  ", 7, 21, 50)
+    assert one.txt == "**ALPHA-BETA  ".ljust(20) and int(one.j) == 15 and int(one.i) == 2
+    assert one.display == ["N=1   7.25-", "AFTER"] and two.display == ["N=2   7.25-"] and int(two.t) == 3
+
+
+def test_calls_and_inputs(spark):
+    text = """
+    MAIN.
+        CALL "TWICE" USING N C.
+        CALL "NOWHERE" ON EXCEPTION MOVE 4 TO T END-CALL.
+        ACCEPT A FROM ENVIRONMENT "HOME". ACCEPT B. ACCEPT J FROM COMMAND-LINE.
+    """
+    (row,) = run(spark, text, [(21,)], calls={"TWICE": lambda n, c: [n, n * 2]}, inputs={"ENVIRONMENT HOME": "here", "B": "typed", "COMMAND-LINE": "12"})
+    assert (int(row.c), int(row.t), row.a, row.b, int(row.j)) == (42, 4, "here  ", "typed ", 12)
