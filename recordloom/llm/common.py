@@ -120,9 +120,17 @@ def map_arrow(df: DataFrame, per_slice: Callable[[], Callable[[pa.RecordBatch],
             del apply
             end_task()
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, struct)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches to and from Python hold SLICE_BYTES at most, in this session: both ends keep several at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > SLICE_BYTES:
+        spark.conf.set(key, str(SLICE_BYTES))
+
+
 def fold(key, modulus: int = 5):
     """crc32 of a key as text, modulo: the fixed folds of labels and training rows."""
     return F.crc32(key.cast("string").cast("binary")) % modulus

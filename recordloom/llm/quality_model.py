@@ -132,6 +132,20 @@ class Model:
         return sums / np.maximum(counts, 1) + self.bias
 
 
+def descend(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, ids: np.ndarray, share: np.ndarray, label: int, rate: float) -> None:
+    """One step against the gradient of a text's cross entropy, in place: output weights by `rate`, biases by a tenth of
+    it, and vectors by `rate` times their length over the largest share, so that long texts' rare buckets move too."""
+    mean = share @ vectors[ids]
+    z = out @ mean + bias
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    p[label] -= 1
+    back = p @ out
+    out -= rate * np.outer(p, mean)
+    bias -= rate * 0.1 * p
+    vectors[ids] -= rate * vectors.shape[1] * np.outer(share, back) * min(8.0, 1.0 / float(share.max()))
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shape: Shape) -> Model:
     """Stochastic gradient descent over shuffled documents, one at a time, with a rate that falls to 0. One class only: its prior."""
     rng = np.random.default_rng(shape.seed)
@@ -142,29 +156,20 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shape:
     steps, done = shape.epochs * max(1, len(bags)), 0
     for _ in range(shape.epochs if len(set(labels.tolist())) == 2 else 0):
         for i in rng.permutation(len(bags)):
-            ids, share = bags[i]
-            rate = shape.rate * (1 - done / steps)
+            if len(bags[i][0]):
+                descend(vectors, out, bias, *bags[i], int(labels[i]), shape.rate * (1 - done / steps))
             done += 1
-            if not len(ids):
-                continue
-            mean = share @ vectors[ids]
-            z = out @ mean + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[labels[i]] -= 1
-            back = p @ out
-            out -= rate * np.outer(p, mean)
-            bias -= rate * 0.1 * p
-            vectors[ids] -= rate * shape.dim * np.outer(share, back) * min(8.0, 1.0 / float(share.max()))
     return Model(shape, (vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 4_000, shape: Shape = Shape(), folds: int = 5) -> Model:
     """Learn from at most most_rows labelled documents, the first by a hash of doc_id, outside fold 0 of crc32(doc_id) mod folds.
 
-    Only text is an input. Rows without doc_id or label are left out; without any row the score is a constant.
+    Only text is an input. Rows without doc_id or label are left out; without any row the score is a constant. Of
+    labels that contradict each other the lowest counts; a labelled doc_id that several rows have teaches with each.
+    What is learnt doesn't depend on how the rows are dealt.
     """
-    picked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0)).select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    picked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     def per_slice():
@@ -177,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 4_000, shape: Shape
 
         return apply
 
-    found = map_arrow(rows, per_slice, "doc_id bigint, quality int, ids binary, shares binary", "text").toArrow().sort_by("doc_id")
+    found = map_arrow(rows, per_slice, "doc_id bigint, quality int, ids binary, shares binary", "text").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending"), ("shares", "ascending")])
     bags = [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(s, "<f4")) for i, s in zip(found["ids"].to_pylist(), found["shares"].to_pylist(), strict=True)]
     return train(bags, np.array(found["quality"].to_pylist(), np.int64), shape)
 
@@ -224,13 +229,22 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 4_000, shape: Shape = Shape()) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from the threshold on) for every document."""
+    """doc_id, held_out, score, predicted (1 from the threshold on) for every document.
+
+    A row without doc_id isn't held out; null and empty texts get the score of no words; repeated rows come out
+    repeatedly, and an empty table gives an empty one. A very long text is held whole, as one bag of buckets.
+    """
     scored = score(docs, fit(docs, labels, most_rows, shape))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 4_000, shape: Shape = Shape()) -> DataFrame:
-    """The documents that score at the threshold or above, with all their columns."""
+    """The documents that score at the threshold or above, with all their columns, whatever these are called.
+
+    Null and empty texts are judged by the score of no words; repeated rows stay or go together; ties at the threshold
+    stay; without usable labels the score is a constant and so is the verdict.
+    """
     renamed = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c != "text"}
     carried = docs.select(*[F.col(c).alias(renamed.get(c, c)) for c in docs.columns])
     scored = score(carried, fit(docs, labels, most_rows, shape), carried.columns).where(F.col("score") >= threshold)

@@ -179,10 +179,11 @@ def learn(x: np.ndarray, bad: np.ndarray, most_rules: int = 12, most_tests: int
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, folds: int = 5) -> list[Rule]:
     """Learn from at most most_rows labelled rows, the first by a hash of doc_id; rows with crc32(doc_id) mod folds = 0 stay out.
 
-    No labels, or labels of one class, give an empty list: nothing is rejected.
+    No labels, or labels of one class, give an empty list: nothing is rejected. Of labels that contradict each other
+    the lowest counts. What is learnt doesn't depend on how the rows are dealt.
     """
-    picked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0)).select("doc_id", F.col("quality").alias("_quality")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), ["doc_id", "_quality"]).toPandas().sort_values("doc_id")
+    picked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.min("quality").alias("_quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), ["doc_id", "_quality"]).toPandas().sort_values(["doc_id", *FEATURES])
     return learn(rows[list(FEATURES)].to_numpy(float), rows["_quality"].to_numpy() == 0) if len(rows) else []
 
 
@@ -199,7 +200,11 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> DataFrame:
-    """doc_id, the BASE counts, base_failed, kept and the number of the rule that rejects (0: none) for every document."""
+    """doc_id, the BASE counts, base_failed, kept and the number of the rule that rejects (0: none) for every document.
+
+    Null texts have no words and fail; repeated rows come out repeatedly; a null doc_id stays null; an empty table
+    gives an empty one. A very long text is counted whole by one task.
+    """
     rules = fit(docs, labels, most_rows)
     number = None
     for i, rule in enumerate(rules):
@@ -209,7 +214,10 @@ def judge(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> DataFrame:
-    """The documents that neither fail the base rules nor match a learned one, with all their columns; text passes through once."""
+    """The documents that neither fail the base rules nor match a learned one, with all their columns; text passes through once.
+
+    Null and empty texts have fewer than ten words and go; repeated rows stay or go together; columns may have any names.
+    """
     # the columns of documents may be named like statistics: n_words and the like are renamed on the way
     renamed = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c != "text"}
     rules = fit(docs, labels, most_rows)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import map_arrow, materialise, most_frequent, shuffle_partitions, text_bytes
+from recordloom.llm.common import bounded_batches, map_arrow, materialise, most_frequent, shuffle_partitions, text_bytes
 from recordloom.llm.components import connected
 
 WORDS = 5
@@ -240,6 +240,7 @@ def _streamed(rows: DataFrame, per_slice, schema: str) -> DataFrame:
         for out in apply.finish():
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
+    bounded_batches(rows.sparkSession)
     return rows.mapInArrow(run, struct)
 
 
@@ -389,7 +390,7 @@ def _links_within(rows: DataFrame, payload: list[str], weight: Column, most: int
     return edges.union(solved(inner.unionByName(outer).withColumn("_task", F.xxhash64("group", "_i", "_j"))))
 
 
-def components(docs: DataFrame, heavy_tokens: int = 131_072, heavy_from: int = 8, list_most: int = 4096, task_shingles: int = 2_000_000) -> DataFrame:
+def components(docs: DataFrame, heavy_tokens: int = 131_072, heavy_from: int = 8, list_most: int = 4096, task_shingles: int = 500_000) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) of every document.
 
     Two documents link when their sets of WORDS-word shingles have a Jaccard similarity of 0.75 or more. ASCII upper
@@ -404,7 +405,7 @@ def components(docs: DataFrame, heavy_tokens: int = 131_072, heavy_from: int = 8
     return sets.join(final, ["sid", "n"], "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _labelled(docs: DataFrame, heavy_tokens: int = 131_072, heavy_from: int = 8, list_most: int = 4096, task_shingles: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def _labelled(docs: DataFrame, heavy_tokens: int = 131_072, heavy_from: int = 8, list_most: int = 4096, task_shingles: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows, and of each distinct set its component's least doc_id and (id, hash of text) of its first row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("_text", F.xxhash64("text"))
     sets = materialise(sets_of(docs))
