@@ -100,15 +100,18 @@ def parse_program(text: str) -> list[tuple]:
             stmt += 1
         buffer = ""
 
-    for x in logical_lines(text):
+    lines = logical_lines(text)
+    # headings stand where divisions do, or a little to the right; operands on lines of their own stand further in
+    margin = 3 + min((len(x) - len(x.lstrip()) for x in lines if re.search(r"\bDIVISION\b", x)), default=0)
+    for x in lines:
         if m := re.match(r"\s*PROGRAM-ID\.\s*([\w-]+)", x):
             flush()
             program, paragraph, par, stmt, inside = m[1], "MAIN", 0, 0, False
         elif re.match(r"\s*PROCEDURE\s+DIVISION", x):
             inside = True
-        elif inside and (m := re.match(r"\s{0,3}([A-Z0-9][\w-]*)(?:\s+SECTION)?\s*\.\s*$", x)) and m[1] not in _VERBS and not m[1].startswith("END-"):
+        elif inside and (m := re.match(r"(\s*)([A-Z0-9][\w-]*)(?:\s+SECTION)?\s*\.\s*$", x)) and len(m[1]) <= margin and m[2] not in _VERBS and not m[2].startswith("END-"):
             flush()
-            paragraph, par = m[1], par + 1
+            paragraph, par = m[2], par + 1
         elif inside:
             buffer += " " + x
             if x.rstrip().endswith("."):

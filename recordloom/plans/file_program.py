@@ -28,7 +28,8 @@ _TEXTS = "array<string>"
 
 @dataclass
 class Outcome:
-    """What a run leaves: lines of the files it wrote (place, line), what it displayed (place, line), its items (one row), its files' statuses."""
+    """What a run leaves: lines of the files it wrote (place, line), what it displayed (place, line), its items (one row,
+    without those that hold what the last record left in them), its files' statuses."""
 
     written: dict[str, DataFrame] = field(default_factory=dict)
     shown: DataFrame | None = None
@@ -165,17 +166,25 @@ class FileProgram(Program):
             if safe_name(n) not in records.columns:
                 env[n] = F.lit(0).cast("decimal(38,9)") if n in self.sums else F.col(f"carried {n}") if n in carried else F.lit(start.get(safe_name(n))).cast(self._kind(n))
         end = self._run(work, env, ())
-        sums, texts = {}, {}
+        sums, texts, lost = {}, {}, set()
         for n, c in end.items():
             if n in env and c is env[n]:
                 continue
-            if "carried " in str(c):
-                raise Unsupported(f"{n} is carried from record to record")
+            kept = n in self.sums or n == SHOWN or n.startswith("$OUT ")
+            if kept and "carried " in str(c):
+                raise Unsupported(f"{n} depends on what is carried from record to record")
             if n in self.sums:
                 sums[n] = c
-            elif n == SHOWN or n.startswith("$OUT "):
+            elif kept:
                 texts[n] = c
+            else:
+                lost.add(n)
         self.sums = set()
+        # what the last record left in an item isn't known: nothing may read it, unless it gets a value first
+        for s in [*self._end_flag(reads[0]), *self._flat(behind)]:
+            if gone := lost & {w for x in s.walk() for w in self._used(x)}:
+                raise Unsupported(f"{', '.join(sorted(gone))} is read behind the loop")
+            lost -= set(self._changes(s))
         rows = records.select(place.alias("_place"), *[c.cast("decimal(38,9)").alias(f"_sum{i}") for i, c in enumerate(sums.values())], *[c.cast(_TEXTS).alias(f"_text{i}") for i, c in enumerate(texts.values())])
         for i, n in enumerate(texts):
             lines = rows.select("_place", F.posexplode(f"_text{i}").alias("_n", "line")).select(F.col("_place").alias("place"), F.col("_n").alias("number"), "line")
@@ -192,7 +201,7 @@ class FileProgram(Program):
             early = F.array(*map(F.lit, start.get("display") or [])).cast(_TEXTS)
             ends = items.select(F.lit(None).cast("bigint").alias("place"), F.posexplode(F.concat(early, F.col("display")))).select("place", F.col("pos").alias("number"), F.col("col").alias("line"))
             out.shown = ends if out.shown is None else out.shown.unionByName(ends)
-        out.items = items.drop("display")
+        out.items = items.drop("display", *map(safe_name, lost))
         out.statuses[self.input] = AT_END
         return out
 
@@ -271,6 +280,9 @@ class FileProgram(Program):
     def _used(self, s: Statement) -> list[str]:
         """Words that a statement reads."""
         w, tests = s.words, [x for t, _ in s.branches for one in t for x in one]
+        if s.verb in ("MOVE", "COMPUTE", "SET"):
+            mark = next((x for x in (("TO",) if s.verb == "MOVE" else ("=",) if s.verb == "COMPUTE" else ("TO", "BY")) if x in w), None)
+            return [*(w[: w.index(mark)] if s.verb == "MOVE" and mark else w[w.index(mark) + 1 :] if mark else w), *tests]
         if s.verb in ("ADD", "SUBTRACT") and "GIVING" not in w:
             link = "TO" if s.verb == "ADD" else "FROM"
             return w[: w.index(link)] if link in w else w

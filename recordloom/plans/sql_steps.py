@@ -29,6 +29,8 @@ def _parameter(name: str) -> str:
 
 
 def _bare(text: str) -> str:
+    """The statement without its frame and its comments."""
+    text = "".join(" " if k == "quoted" and p[:2] in ("--", "/*") else ":" + p if k == "host" else p for k, p in _pieces(text))
     return re.sub(r"^\s*EXEC\s+SQL\b|\bEND-EXEC\b\.?\s*$", "", text.strip(), flags=re.I).strip()
 
 
