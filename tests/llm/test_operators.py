@@ -1,11 +1,17 @@
 """The corpus operators against brute force, with nulls, empty texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
+import re
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -115,25 +121,56 @@ def test_encoding(docs, empty):
 
 
 def test_sharding(docs, empty):
-    rows = sharding.shard_documents(docs, [1.0, 2.0, 0.0]).collect()
-    assert len(rows) == docs.count() and {r.shard for r in rows} <= {0, 1}
-    for s in (0, 1):
-        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
-    assert all(r.grown_shard in (r.shard, 3) for r in rows)
+    """Shards by the hash's definition; sizes and checksums of the texts; slots without gaps; growth takes rows into the new shard alone."""
+    weights = [1.0, 2.0, 0.0]
+
+    def shard(doc_id, weights):
+        key = xxhash.xxh64_intdigest("null" if doc_id is None else str(doc_id), 42)
+        us = [((xxhash.xxh64_intdigest(struct.pack("<i", k), key) >> 11) + 0.5) / 2**53 for k in range(len(weights))]
+        return min((-math.log(u) / w, k) for k, (u, w) in enumerate(zip(us, weights, strict=True)) if w)[1]
+
+    rows = sharding.shard_documents(docs, weights).collect()
+    want = []
+    for d in docs.collect():
+        data = (d.text or "").encode()
+        want.append((d.doc_id or -1, len(data) + 1, zlib.crc32(data), shard(d.doc_id, weights), shard(d.doc_id, [*weights, 1.0])))
+    assert sorted((r.doc_id or -1, r.size, r.text_crc32, r.shard, r.grown_shard) for r in rows) == sorted(want)
+    for k in (0, 1):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+    assert all(r.grown_shard in (r.shard, 3) and r.law == "key" for r in rows)
     assert sharding.shard_documents(empty, [1.0] * 4).count() == 0
 
 
+def test_sharding_keeps_to_the_weights(spark):
+    many = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    shares = Counter(r.shard for r in sharding.shard_documents(many, [1.0, 3.0, 2.0]).collect())
+    assert all(abs(shares[k] / 6000 - w / 6) < 0.03 for k, w in enumerate((1, 3, 2)))
+
+
 def test_fingerprints(docs, empty):
+    """Edited texts, lengths and likenesses by hand; equal texts have equal fingerprints."""
     rows = weighted_print.fingerprints(docs).collect()
     assert len(rows) == docs.count()
-    prints = {}
-    for r in rows:
-        prints.setdefault(hashlib.sha256((r.edited_sha256).encode()).hexdigest(), r)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    own = {r.doc_id: r.fingerprint for r in rows}
+    distinct = dict(corpus())
+    order = sorted(distinct)
+    by = {r.doc_id: r for r in rows}
+
+    def like(a, b):
+        return sum(a[k : k + 8] == b[k : k + 8] for k in range(0, len(a), 8)) / (len(a) / 8)
+
+    for i, doc in enumerate(order):
+        r, text = by[doc], distinct[doc] or ""
+        # rows[0] stands three times: the next document of its last copy is the second, of the others itself
+        follows = [distinct[order[(i + 1) % len(order)]] or "", text] if doc == order[0] else [distinct[order[(i + 1) % len(order)]] or ""]
+        half = len(text) // 2
+        assert r.n_chars == len(text)
+        assert r.edited_sha256 in {hashlib.sha256((text[: len(text) - half] + f[:half]).encode()).hexdigest() for f in follows} or i == len(order) - 1
+        assert abs(r.near_edited - like(r.fingerprint, r.edited_fingerprint)) < 1e-12
+        if 0 < i < len(order) - 1:
+            assert abs(r.near_next - like(r.fingerprint, by[order[i + 1]].fingerprint)) < 1e-12
     same = {}
     for i, t in corpus():
-        same.setdefault(t or "", set()).add(own[i])
+        same.setdefault(t or "", set()).add(by[i].fingerprint)
     assert all(len(v) == 1 for v in same.values())
     assert weighted_print.fingerprints(empty).count() == 0
 
@@ -156,40 +193,70 @@ def test_collision_rate(spark):
     assert abs(np.mean(gap)) < 0.03
 
 
-def test_context_tree(docs, empty):
-    for head in (200_000, 3):
-        rows = context_tree.score(docs, F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True)), contexts=500, head_words=head).collect()
-        from collections import Counter
-
-        counts = Counter()
-        for d in docs.collect():
-            if d.doc_id is None or d.doc_id % 2 == 0:
-                counts.update([*(d.text or "").encode().lower().split(), None])
-        total, distinct = sum(counts.values()), len(counts)
-        want = sorted((d.doc_id or -1, sum(np.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in [*(d.text or "").encode().lower().split(), None])) for d in docs.collect())
-        got = sorted((r.doc_id or -1, r.base_score) for r in rows)
-        assert np.allclose([b for _, b in want], [b for _, b in got])
-        assert all(r.score < 0 and r.train_tokens == total for r in rows)
-    assert context_tree.score_documents(empty).count() == 0
+class PlainTree:
+    """Context-tree weighting over counts in dictionaries, by the definition: a symbol's probability is the quotient of two P_w."""
+
+    def __init__(self):
+        self.counts, self.below, self.weighted = {}, {}, {}
+
+    @staticmethod
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+    def add(self, path, bit):
+        """path: (node, context) from the empty context to the longest."""
+        for up, at in zip([None, *path], path):
+            self.counts.setdefault(at, [0, 0])[bit] += 1
+            if up is not None:
+                self.below.setdefault(up, set()).add(at)
+
+    def mixed(self, at):
+        if at not in self.weighted:
+            own = self.kt(*self.counts[at])
+            self.weighted[at] = np.logaddexp(own, sum(self.mixed(x) for x in self.below[at])) - math.log(2) if at in self.below else own
+        return self.weighted[at]
+
+    def one(self, path):
+        """Probability of a one behind the longest context of path."""
+        inner = 0.0  # by how much the log of P_w of the longer contexts grows
+        for i in reversed(range(len(path))):
+            at = path[i]
+            a, b = self.counts.get(at, (0, 0))
+            if at not in self.below and i + 1 < len(path) or at not in self.counts:
+                inner = math.log(0.5) if at not in self.counts else self.kt(a, b + 1) - self.kt(a, b)
+                continue
+            grown = self.kt(a, b + 1)
+            if at in self.below:
+                grown = np.logaddexp(grown, sum(self.mixed(x) for x in self.below[at]) + inner) - math.log(2)
+            inner = grown - self.mixed(at)
+        return math.exp(inner)
 
 
-@pytest.mark.parametrize("head", [200_000, 3])
-def test_whole_tree_keeps_every_context(docs, head):
-    """Scores by joins against one tree of all contexts, built from plain counts; the longest have seven bytes."""
-    from collections import Counter
+def _paths(word, c):
+    """For each byte of a word behind class c with its blank its eight (bit, path)."""
+    data = bytes([context_tree.CLASS_BYTE + c]) + b" " + (word + b" " if word else context_tree.END)
+    for i in range(2, len(data)):
+        node = 1
+        for shift in range(7, -1, -1):
+            bit = data[i] >> shift & 1
+            yield bit, [(node, data[i - d : i]) for d in range(min(i, context_tree.DEPTH) + 1)]
+            node = 2 * node + bit
 
+
+@pytest.mark.parametrize("head", [200_000, 3])
+def test_context_tree(docs, head, monkeypatch):
+    """Counts and base scores by plain counting; scores by a plain tree of every context; none depend on the partitioning."""
+    monkeypatch.setattr(context_tree, "FREQUENT", 20)
     rows = [(d.doc_id, (d.text or "").encode().lower().split()) for d in docs.collect()]
     learnt = [w for i, w in rows if i is None or i % 2 == 0]
-    often, follow = Counter(x for w in learnt for x in w), Counter()
-    frequent = sorted(often, key=lambda w: (-often[w], w))[: context_tree.FREQUENT]
-    number = {w: i for i, w in enumerate(frequent)}
+    counts = Counter(x for w in learnt for x in [*w, b""])
+    often = sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[:20]
+    number, follow = {w: i for i, w in enumerate(often)}, np.zeros((20, 20))
     for w in learnt:
-        seen = [number[x] for x in w if x in number]
-        follow.update(zip(seen, seen[1:]))
-    grid = np.zeros((len(frequent), len(frequent)))
-    for pair, n in follow.items():
-        grid[pair] = n
-    classes = context_tree.form_classes(frequent, grid)
+        for x, y in zip(w, w[1:]):
+            if x in number and y in number:
+                follow[number[x], number[y]] += 1
+    classes = context_tree.form_classes(often, follow)
 
     def places(w):
         now = context_tree.CLASSES
@@ -197,29 +264,32 @@ def test_whole_tree_keeps_every_context(docs, head):
             yield x, now
             now = classes.get(x, now)
 
-    counts = Counter()
+    tree = PlainTree()
     for w in learnt:
-        x, c = zip(*places(w))
-        for byte, context, depth in zip(*context_tree._coded(list(x), np.array(c))):
-            for d in range(depth + 1):
-                counts[int(context) & ((1 << 8 * d) - 1) | d << 56, int(byte)] += 1
-    keys = sorted(counts)
-    assert max(k[0] >> 56 for k in keys) == 7
-    tree = context_tree.build(np.array([k[0] for k in keys], np.uint64), np.array([k[1] for k in keys]), np.array([counts[k] for k in keys], float))
-    want = sorted((-1 if i is None else i, float(tree.words(*(lambda x, c: (list(x), np.array(c)))(*zip(*places(w)))).sum())) for i, w in rows)
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in context_tree.score(docs, F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True)), head_words=head).collect())
-    assert [i for i, _ in want] == [i for i, _ in got] and np.allclose([x for _, x in want], [x for _, x in got], rtol=1e-6)
-
-
-def test_tree_is_a_distribution():
-    words, classes = [b"abc", b"abd", b""], np.array([0, 1, 2])
-    byte, context, depth = context_tree._coded(words, classes)
-    parts = [(context_tree._cut(context[depth >= d], d), byte[depth >= d]) for d in range(context_tree.DEPTH + 1)]
-    c, b = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.lexsort((b, c))
-    tree = context_tree.build(c[order], b[order], np.ones(len(b)))
-    for number in range(len(tree.contexts)):
-        assert abs((10 ** tree.log10(np.arange(256, dtype=np.uint8), np.full(256, number))).sum() - 1) < 1e-9
+        for x, c in places(w):
+            for bit, path in _paths(x, c):
+                tree.add(path, bit)
+    total, distinct, known = sum(counts.values()), len(counts), {}
+
+    def word(x, c):
+        if (x, c) not in known:
+            known[x, c] = sum(math.log10(p if bit else 1 - p) for bit, p in ((bit, tree.one(path)) for bit, path in _paths(x, c)))
+        return known[x, c]
+
+    want = sorted((-1 if i is None else i, len(w) + 1, sum(counts[x] > 0 for x in [*w, b""]), sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in [*w, b""]), sum(word(x, c) for x, c in places(w))) for i, w in rows)
+    train = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True))
+    for parts in (1, 7):
+        got = context_tree.score(docs.repartition(parts), train, head).collect()
+        assert {r.train_tokens for r in got} == {total}
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got)
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert np.allclose([r[3:] for r in got], [r[3:] for r in want], rtol=1e-7)
+
+
+def test_context_tree_of_nothing(docs, empty):
+    assert context_tree.score_documents(empty).count() == 0
+    untrained = context_tree.score(docs.where("doc_id < 12"), F.lit(False)).collect()
+    assert {(r.train_tokens, r.n_known) for r in untrained} == {(0, 0)} and all(abs(r.base_score) < 1e-9 for r in untrained)
 
 
 def test_rules_and_classifier(spark, empty):
@@ -235,6 +305,74 @@ def test_rules_and_classifier(spark, empty):
     assert rule_list.keep_good(docs, nothing).columns == docs.columns
 
 
+def plain_counts(text):
+    """The base counts of quality rules, by the words of their definition."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+    covered = {p for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for p in range(k, k + 5)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
+
+
+def test_rule_counts(spark, docs):
+    rng = random.Random(21)
+    more = ["a b c d e f\n" * 4, "x\n\n x\nx\n \t\nx", "one two three four five six seven eight nine ten # $ & <b> | *", "é " * 9 + "ü%", " ".join(rng.choices(["p", "q"], k=60)), "tail\x0bof\x0cit\r\nand\x1cno blank"]
+    frame = spark.createDataFrame([(900 + i, t) for i, t in enumerate(more)], "doc_id bigint, text string").unionByName(docs.select("doc_id", "text"))
+    labels = spark.createDataFrame([(900, 1), (901, 0), (901, 1), (None, 0), (902, None)], "doc_id bigint, quality int")
+    got = sorted((r.doc_id or -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rule_list.judge(frame, labels).collect())
+    want = []
+    for d in frame.collect():
+        c = plain_counts(d.text)
+        want.append((d.doc_id or -1, *c, c[0] < 10 or 100 * c[4] > 20 * c[0]))
+    assert got == sorted(want)
+    kept = rule_list.keep_good(frame, labels)
+    assert kept.columns == frame.columns and kept.count() == sum(not w[-1] for w in want)
+
+
+def test_classifier_scores_by_hand(spark, docs):
+    """Scores by each text's bag of buckets; nulls, repeated rows, missing ids and contradicting labels."""
+    frame = docs.select("doc_id", "text")
+    labels = spark.createDataFrame([*[(i, i // 3 % 2) for i in range(0, 180, 3)], (0, 1), (None, 1), (3, None)], "doc_id bigint, quality int")
+    shape = quality_model.Shape(buckets=512)
+    model = quality_model.fit(frame, labels, shape=shape)
+    features = quality_model.Features(shape)
+    want = {}
+    for d in frame.collect():
+        ids, share = features.bag((d.text or "").encode())
+        want[d.doc_id] = 1 / (1 + math.exp(-(float(share.astype(float) @ model.scalar[ids].astype(float)) + model.bias)))
+    rows = quality_model.classify(frame, labels, shape=shape).collect()
+    assert len(rows) == frame.count() and all(abs(r.score - want[r.doc_id]) < 1e-5 and r.predicted == int(r.score >= 0.3) for r in rows)
+    assert {r.doc_id for r in rows if r.held_out} == {i for i in want if i is not None and zlib.crc32(str(i).encode()) % 5 == 0}
+    assert {r.held_out for r in rows if r.doc_id is None} == {False}
+    again = quality_model.fit(frame.repartition(5), labels, shape=shape)
+    assert np.array_equal(again.scalar, model.scalar) and again.bias == model.bias
+
+
+def test_gradient_by_differences():
+    """A step's direction against the differences of the cross entropy, weight by weight."""
+    rng = np.random.default_rng(2)
+    vectors, out, bias = rng.normal(size=(12, 4)), rng.normal(size=(2, 4)), rng.normal(size=2)
+    ids, share, label, rate = np.array([3, 5, 9]), np.array([0.5, 0.25, 0.25]), 1, 1e-3
+
+    def loss(v, o, b):
+        z = o @ (share @ v[ids]) + b
+        return math.log(np.exp(z).sum()) - z[label]
+
+    after = [x.copy() for x in (vectors, out, bias)]
+    quality_model.descend(*after, ids, share, label, rate)
+    for k, scale in ((0, 4 * 2), (1, 1), (2, 0.1)):
+        for at in np.ndindex(after[k].shape):
+            moved = [x.copy() for x in (vectors, out, bias)]
+            moved[k][at] += 1e-6
+            slope = (loss(*moved) - loss(vectors, out, bias)) / 1e-6
+            assert abs((vectors, out, bias)[k][at] - after[k][at] - rate * scale * slope) < 1e-7
+
+
 def test_classifier_reads_words_without_blanks_to_the_end(spark):
     """Texts of one long word with a common beginning: only what stands behind it tells them apart."""
     rng = random.Random(4)
@@ -261,19 +399,29 @@ def test_long_words_have_the_n_grams_of_short_ones(monkeypatch):
 
 
 def test_token_files(docs, empty, tmp_path):
-    rows = frames.token_files(docs.where("doc_id is not null")).orderBy("start").collect()
-    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    """Tokens and checksums by the tokenizers library, in order of doc_id, those without one first."""
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = []
+    for d in docs.collect():
+        ids = [*t.encode(d.text or "", add_special_tokens=False).ids, 1]
+        want.append((-1 if d.doc_id is None else d.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    rows = frames.token_files(docs).orderBy("start").collect()
+    assert rows[0].doc_id is None and [(-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in rows] == sorted(want)
     assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
     assert frames.token_files(empty).count() == 0
     path = str(tmp_path / "x.zst")
     with open(path, "wb") as f:
         w = frames.FrameWriter(f, 4)
-        for i in range(9):
-            w.add(i, np.arange(i, dtype="<u4").tobytes())
+        for i in (None, *range(9)):
+            w.add(i, np.arange(i or 0, dtype="<u4").tobytes())
         w.close()
     where, name = frames.open_folder(path)
     with where.open_input_file(name) as h:
-        assert np.frombuffer(frames.FrameReader(h).find(7), "<u4").tolist() == list(range(7)) and frames.FrameReader(h).find(99) is None
+        reader = frames.FrameReader(h)
+        assert np.frombuffer(reader.find(7), "<u4").tolist() == list(range(7)) and reader.find(99) is None
+        assert [d for d, _ in reader.read()] == [None, *range(9)]
+    # any zstandard reader sees the frames as one stream
+    assert zstandard.ZstdDecompressor().stream_reader(open(path, "rb"), read_across_frames=True).read() == b"".join(np.arange(i, dtype="<u4").tobytes() for i in range(9))
     data = bytearray(open(path, "rb").read())
     data[9] ^= 255
     open(path, "wb").write(data)
@@ -281,6 +429,15 @@ def test_token_files(docs, empty, tmp_path):
         list(frames.FrameReader(h).read())
 
 
+def test_many_frames_and_files(spark):
+    """Files by size, frames by tokens: nothing is lost or changes place."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("words and "), F.col("id").cast("string")).alias("text")).orderBy(F.desc("id"))
+    folder = frames.shared_folder(spark)
+    files = frames.write_tokens(docs, folder, frame_tokens=16, file_bytes=256)
+    rows = frames.read_tokens(spark, files).orderBy("start").collect()
+    assert len(files) > 4 and [r.doc_id for r in rows] == list(range(300))
+
+
 def brute(rows):
     sets = {}
     for i, t in rows:
@@ -363,3 +520,60 @@ def test_chat(spark):
         assert (out[c].loss_chars, out[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert all(w.tokens <= 100 or w.n_turns == 1 for w in windows.collect())
     assert chat.read_back(chat.format_conversations(turns.where("false"))).count() == 0
+
+
+def test_chat_windows(spark):
+    """Windows chosen turn by turn: the system turn, a limited history out of the mask, then as many new turns as fit."""
+    rng = random.Random(5)
+    budget = chat.Budget(80, 30, 3)
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    rows = [(c, k, "system" if k == 0 and c else ("user", "assistant")[k % 2], "word " * rng.randint(0, 30)) for c in range(4) for k in range(25)]
+    turns = spark.createDataFrame([(*r, "x") for r in [*rows, rows[3]]], "conv_id bigint, turn bigint, role string, text string, tokens string")
+    got = {}
+    for w in chat.format_conversations(turns, budget=budget).orderBy("conv_id", "window").collect():
+        got.setdefault(w.conv_id, []).append((chat.parse(w.formatted), w.n_repeated, w.n_turns, w.tokens))
+    for c in range(4):
+        mine = sorted(x for x in [*rows, rows[3]] if x[0] == c)
+        size = [len(t.encode(x[3], add_special_tokens=False).ids) + 4 for x in mine]
+        system, want, at, history = (0 if c else None), [], 0, []
+        while at < len(mine):
+            used = sum(size[i] for i in history)
+            new = [at]
+            while at + len(new) < len(mine) and used + sum(size[i] for i in new) + size[at + len(new)] <= budget.tokens:
+                new.append(at + len(new))
+            want.append(([(mine[i][2], mine[i][3]) for i in [*history, *new]], len(history), len(new), used + sum(size[i] for i in new)))
+            tail = [i for i in [*history, *new] if i != system][-budget.history_turns :]
+            while tail and sum(size[i] for i in tail) > budget.history_tokens:
+                tail.pop(0)
+            history, at = ([system] if system is not None else []) + tail, at + len(new)
+        assert got[c] == want
+    whole = {r.conv_id: r.formatted_chars for r in chat.read_back(chat.format_conversations(turns, budget=budget)).collect()}
+    assert all(whole[c] > 0 for c in range(4))
+
+
+def test_very_long_texts(spark):
+    """One text of 60,000 words and one word of 200,000 characters, beside short ones, through every operator."""
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(900)]
+    long = " ".join(rng.choices(words, k=60_000))
+    docs = spark.createDataFrame([(1, long), (2, "short text"), (3, "y" * 200_000), (4, long + " tail")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id bigint, quality int")
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    ids = {i: [*t.encode(x, add_special_tokens=False).ids] for i, x in docs.collect()}
+    packed = packing.pack_documents(docs).collect()
+    assert {i: sum(r.length for r in packed if r.doc_id == i) for i in ids} == {i: len(x) + 1 for i, x in ids.items()}
+    assert _check_bins(packed, packing.Bin()) <= 1 + -(-sum(len(x) + 1 for x in ids.values()) // 2048)
+    b = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.n_tokens for r in lexicon.encode_documents(docs, lexicon_words=50).collect()} == {i: len(b.encode(x, add_special_tokens=False).ids) for i, x in docs.collect()}
+    assert {r.doc_id: r.size for r in sharding.shard_documents(docs, [1.0] * 3).collect()} == {i: len(x) + 1 for i, x in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in frames.token_files(docs).collect()} == {i: len(x) + 1 for i, x in ids.items()}
+    assert {r.doc_id: r.component_id for r in shingle_join.components(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    prints = {r.doc_id: r for r in weighted_print.fingerprints(docs).collect()}
+    assert prints[1].n_chars == len(long) and prints[1].near_edited > 0.3
+    assert {r.doc_id: (r.n_words, r.word_chars) for r in rule_list.judge(docs, labels).collect()} == {i: (len(x.split()), sum(map(len, x.split()))) for i, x in docs.collect()}
+    assert all(0 <= r.score <= 1 for r in quality_model.classify(docs, labels).collect())
+    scored = {r.doc_id: r for r in context_tree.score(docs, F.lit(True)).collect()}
+    assert scored[1].n_tokens == 60_001 and scored[3].n_tokens == 2 and all(math.isfinite(r.score) and r.score < 0 for r in scored.values())
+    turns = docs.select(F.lit(1).cast("bigint").alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), "text")
+    (talk,) = chat.format_and_read(turns).collect()
+    assert talk.loss_chars == sum(len(x) for _, x in docs.collect())
