@@ -30,7 +30,7 @@ CATEGORIES = {
     "Data / MOVE": ("MOVE", "CORRESPONDING", "GROUP", "REDEFINES"),
     "Arithmetic": ("COMPUTE", "ADD", "SUBTRACT", "DIVIDE", "MULTIPLY", "SIZE ERROR"),
 }
-_VERBS = "ACCEPT ADD ALTER CALL CANCEL CLOSE COMPUTE CONTINUE DELETE DISPLAY DIVIDE EVALUATE EXEC EXIT GENERATE GO GOBACK IF INITIALIZE INITIATE INSPECT MERGE MOVE MULTIPLY OPEN PERFORM READ RELEASE RETURN REWRITE SEARCH SET SORT START STOP STRING SUBTRACT TERMINATE UNSTRING WRITE".split()
+_VERBS = "ACCEPT ADD ALTER CALL CANCEL CLOSE COMPUTE CONTINUE DELETE DISABLE DISPLAY DIVIDE ENABLE ENTRY EVALUATE EXEC EXIT GENERATE GO GOBACK IF INITIALIZE INITIATE INSPECT JSON MERGE MOVE MULTIPLY OPEN PERFORM PURGE READ RECEIVE RELEASE RETURN REWRITE SEARCH SEND SET SORT START STOP STRING SUBTRACT TERMINATE UNSTRING WRITE XML".split()
 _VERB = re.compile(r"(?<![\w-])(" + "|".join(_VERBS) + r")(?![\w-])")
 FACTS = "path string, program string, paragraph string, par_no int, stmt_no int, verb string, target string, text string"
 

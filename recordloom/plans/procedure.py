@@ -8,6 +8,7 @@ as does what can't be parsed.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -20,6 +21,7 @@ from recordloom.functions.semantics import coerce, divide, edited, pad, size_err
 from recordloom.functions.strings import safe_name
 from recordloom.plans.copybook import Item, Picture
 from recordloom.plans.expressions import FIGURATIVE, compute, condition, condition_name
+from recordloom.sources import fixed_width
 
 VERBS = set("MOVE COMPUTE ADD SUBTRACT MULTIPLY DIVIDE IF EVALUATE SET PERFORM INITIALIZE CONTINUE EXIT STRING UNSTRING INSPECT DISPLAY ACCEPT CALL STOP GOBACK READ WRITE OPEN CLOSE".split())
 ARITHMETIC = {"COMPUTE", "ADD", "SUBTRACT", "MULTIPLY", "DIVIDE"}
@@ -58,8 +60,13 @@ class Statement:
 class _Blocks:
     """Statements of one paragraph; a period closes whatever is open."""
 
-    def __init__(self, text: str):
-        self.tokens = [t if t[0] in "\"'" else t.upper() for t in _TOKEN.findall(text)]
+    def __init__(self, text: str, shared: set[str] | frozenset[str] = frozenset()):
+        self.tokens: list[str] = []
+        for t in _TOKEN.findall(text):
+            self.tokens.append(t if t[0] in "\"'" else t.upper())
+            # a name that several items have, and its group, are one operand
+            if len(self.tokens) > 2 and self.tokens[-2] in ("OF", "IN") and self.tokens[-3] in shared:
+                self.tokens[-3:] = [f"{self.tokens[-3]} OF {self.tokens[-1]}"]
         self.at = 0
 
     def peek(self, ahead: int = 0) -> str:
@@ -163,14 +170,20 @@ class Program:
 
     def __init__(self, text: str, records: list[Item], calls: Mapping[str, Callable[..., list[Column]]] | None = None, inputs: Mapping[str, object] | None = None, passes: int = 1000):
         self.records, self.calls, self.inputs, self.passes = records, calls or {}, inputs or {}, passes
-        self.items = {x.name: x for r in records for x in r.leaves() if x.name != "FILLER"}
+        leaves = [(x, g) for r in records for g in r.walk() for x in g.children or ([r] if g is r and r.elementary else []) if x.elementary and x.name != "FILLER"]
+        names = Counter(x.name for x, _ in leaves)
+        #: Items by name, or by name OF group where several have the name; groups by name.
+        self.items = {x.name if names[x.name] == 1 else f"{x.name} OF {g.name}": x for x, g in leaves}
+        self.groups = {g.name: g for r in records for g in r.walk() if not g.elementary and g.name != "FILLER"}
+        self.keys = {(g.name, x.name): x.name if names[x.name] == 1 else f"{x.name} OF {g.name}" for x, g in leaves}
+        shared = {n for n, k in names.items() if k > 1}
         #: Items whose sums are taken over records: what is added to them isn't coerced each time.
         self.sums: set[str] = set()
         self.paragraphs: dict[str, list[Statement]] = {}
         pieces = _HEADING.split(text)
         for name, body in zip(["MAIN", *pieces[1::2]], pieces[::2], strict=True):
             if body.strip() or name != "MAIN":
-                self.paragraphs[name.upper()] = _Blocks(body).paragraph()
+                self.paragraphs[name.upper()] = _Blocks(body, shared).paragraph()
 
     def start(self, df: DataFrame) -> DataFrame:
         """The frame with a column for every item that it lacks, as the program starts."""
@@ -215,8 +228,12 @@ class Program:
             raise Unsupported(f"unknown item {name}")
         return self.items[name]
 
+    def _value(self, name: str, env: Env) -> Column:
+        self._item(name)
+        return env[name]
+
     def _test(self, words: list[str], env: Env) -> Column:
-        flags = {n: condition_name(env[x.name], v, x.picture.kind == "numeric") for x in self.items.values() for n, v in x.conditions.items()}
+        flags = {n: condition_name(env[key], v, x.picture.kind == "numeric") for key, x in self.items.items() if key in env for n, v in x.conditions.items()}
         return condition(" ".join(words), env, flags)
 
     def _when(self, subjects: list[list[str]], objects: list[str], env: Env) -> Column:
@@ -522,10 +539,22 @@ class Program:
 
     def _move(self, words: list[str], env: Env) -> Env:
         source, targets = _split(words, "TO")
-        if source[0] in ("CORRESPONDING", "CORR"):
-            raise Unsupported("MOVE CORRESPONDING works on groups: see operators.moves")
         out = dict(env)
+        if source[0] in ("CORRESPONDING", "CORR"):
+            for a, b in self._alike(source[1], targets[0]):
+                out[b] = self._store(self.items[b].picture, env[a])
+            return out
         for name in targets:
+            if name in self.groups:
+                group = self.groups[name]
+                text = pad(F.lit(str(FIGURATIVE[source[0]]) * group.size) if source[0] in FIGURATIVE and source[0] not in env else self._characters(source, env), group.size)
+                for leaf in group.leaves():
+                    if not leaf.overlay and leaf.occurs == 1 and leaf.name != "FILLER":
+                        out[self._key_of(leaf)] = fixed_width.decode_at(text, leaf, leaf.offset - group.offset)
+                continue
+            if source[0] in self.groups:
+                out[name] = self._store(self._item(name).picture, self._characters(source, env))
+                continue
             picture = self._item(name).picture
             if source[0] in FIGURATIVE and source[0] not in env and picture.kind != "numeric":
                 out[name] = F.lit(str(FIGURATIVE[source[0]]) * picture.size)
@@ -536,6 +565,23 @@ class Program:
                 out[name] = self._store(picture, compute(" ".join(source), env))
         return out
 
+    def _key_of(self, leaf: Item) -> str:
+        return next(n for n, x in self.items.items() if x is leaf)
+
+    def _alike(self, source: str, target: str) -> list[tuple[str, str]]:
+        """Items of two groups that have the same name, in order of their names."""
+        for name in (source, target):
+            if name not in self.groups:
+                raise Unsupported(f"{name} isn't a group")
+        return [(self.keys[source, n], self.keys[target, n]) for n in sorted(n for g, n in self.keys if g == source and (target, n) in self.keys)]
+
+    def _characters(self, source: list[str], env: Env) -> Column:
+        """A group's characters, from its items; or an operand's."""
+        if source[0] not in self.groups:
+            return compute(" ".join(source), env).cast("string")
+        group = self.groups[source[0]]
+        return F.concat(*[F.lit(" " * x.size) if x.name == "FILLER" else fixed_width.encode_at(env[self._key_of(x)], x) for x in group.leaves() if not x.overlay])
+
     def _set(self, words: list[str], env: Env) -> Env:
         out = dict(env)
         if words[-2:] == ["TO", "FALSE"]:
@@ -545,7 +591,7 @@ class Program:
                 item = next((x for x in self.items.values() if flag in x.conditions), None)
                 if item is None:
                     raise Unsupported(f"unknown condition name {flag}")
-                out[item.name] = self._store(item.picture, F.lit(item.conditions[flag][0][0]))
+                out[self._key_of(item)] = self._store(item.picture, F.lit(item.conditions[flag][0][0]))
             return out
         for name in words[: next((i for i, w in enumerate(words) if w in ("TO", "UP", "DOWN")), 0)]:
             way, value = ("TO", words[words.index("TO") + 1 :]) if "TO" in words else (words[words.index("BY") - 1], words[words.index("BY") + 1 :])
@@ -556,6 +602,12 @@ class Program:
     def _arithmetic(self, s: Statement, env: Env, stack: tuple[str, ...]) -> Env:
         """Each target's exact value, then its coercion; with ON SIZE ERROR, what doesn't fit leaves its target as it was."""
         goals: list[tuple[str, Column, bool]] = []
+        if s.verb in ("ADD", "SUBTRACT") and s.words[0] in ("CORRESPONDING", "CORR"):
+            for a, b in self._alike(s.words[1], s.words[3]):
+                if {self.items[a].picture.kind, self.items[b].picture.kind} != {"numeric"}:
+                    continue
+                env = self._arithmetic(Statement(s.verb, [a, s.words[2], b], s.branches, s.otherwise), env, stack)
+            return env
 
         def targets(words: list[str]) -> list[tuple[str, bool]]:
             return [(w, words[i + 1 : i + 2] == ["ROUNDED"]) for i, w in enumerate(words) if w != "ROUNDED"]
@@ -582,9 +634,9 @@ class Program:
                         total = total + value(w) if s.verb == "ADD" else value(w) - total
                     goals = [(n, total, r) for n, r in targets(giving[0])]
                 else:
-                    goals = [(n, env[self._item(n).name] + total if s.verb == "ADD" else env[self._item(n).name] - total, r) for n, r in targets(right)]
+                    goals = [(n, self._value(n, env) + total if s.verb == "ADD" else self._value(n, env) - total, r) for n, r in targets(right)]
             elif s.verb == "MULTIPLY":
-                goals = [(n, value(sources[0]) * value(right[0]), r) for n, r in targets(giving[0])] if giving else [(n, value(sources[0]) * env[self._item(n).name], r) for n, r in targets(right)]
+                goals = [(n, value(sources[0]) * value(right[0]), r) for n, r in targets(giving[0])] if giving else [(n, value(sources[0]) * self._value(n, env), r) for n, r in targets(right)]
             else:
                 pairs = [(n, r, *((right[0], sources[0]) if link == "INTO" else (sources[0], right[0]))) for n, r in targets(giving[0])] if giving else [(n, r, n, sources[0]) for n, r in targets(right)]
                 goals = [(n, F.when(value(b) == 0, F.lit(None)).otherwise(divide(value(a), value(b), F.lit(0))), r) for n, r, a, b in pairs]

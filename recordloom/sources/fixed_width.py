@@ -117,6 +117,16 @@ def encode_struct(item: Item, record: Column) -> Column:
     return F.concat(*[_texts(record[name], leaf) for name, leaf in column_names(item) if not leaf.overlay])
 
 
+def decode_at(raw: Column, item: Item, at: int) -> Column:
+    """An item's value from the characters of its group, `at` of which stand before it."""
+    return _one(raw, item, at, item, False)
+
+
+def encode_at(value: Column, item: Item) -> Column:
+    """An item's characters."""
+    return _texts(value, item)
+
+
 def place(raw: Column, item: Item, value: Column) -> Column:
     """A record's characters with those of one of its items, an overlay too, replaced by a value."""
     return F.overlay(raw, _text(value, item), F.lit(item.offset + 1))

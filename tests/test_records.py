@@ -281,3 +281,61 @@ def test_calls_and_inputs(spark):
     """
     (row,) = run(spark, text, [(21,)], calls={"TWICE": lambda n, c: [n, n * 2]}, inputs={"ENVIRONMENT HOME": "here", "B": "typed", "COMMAND-LINE": "12"})
     assert (int(row.c), int(row.t), row.a, row.b, int(row.j)) == (42, 4, "here  ", "typed ", 12)
+
+
+def test_qualified_names_and_groups(spark):
+    records = parse_records("01 G1.\n 05 NAME PIC X(5).\n 05 N PIC 9(3).\n 05 ONLY-1 PIC 9.\n01 G2.\n 05 N PIC 9(4).\n 05 NAME PIC X(3).\n01 G3.\n 05 A PIC X(2).\n 05 B PIC 9(3).\n01 FLAT PIC X(10).")
+    text = """
+    MAIN.
+        MOVE "ALICE" TO NAME OF G1. MOVE 12 TO N IN G1. MOVE 5 TO ONLY-1.
+        MOVE CORRESPONDING G1 TO G2.
+        ADD CORRESPONDING G1 TO G2.
+        IF N OF G2 > N OF G1 MOVE G1 TO FLAT.
+        MOVE "XY007" TO G3.
+    """
+    (row,) = Program(text, records).apply(spark.range(1)).collect()
+    assert (row.name_of_g2, int(row.n_of_g2), row.flat, row.a, int(row.b)) == ("ALI", 24, "ALICE0125 ", "XY", 7)
+
+
+NESTED = """
+01 R.
+  05 N PIC 9.
+  05 T OCCURS 3.
+     10 A PIC X(2).
+     10 B PIC 9(3).
+     10 G OCCURS 2 PIC 9.
+  05 V OCCURS 1 TO 4 DEPENDING ON N PIC X.
+  05 S PIC S9(3)V9.
+  05 Q PIC S9(3) SIGN LEADING SEPARATE.
+  05 Z PIC 9(3) BLANK WHEN ZERO.
+  05 D PIC 9(8).
+  05 PARTS REDEFINES D.
+     10 Y PIC 9(4).
+     10 MD PIC 9(4).
+     10 MD-PARTS REDEFINES MD.
+        15 M PIC 99.
+  66 SIGNED RENAMES S THRU Q.
+"""
+
+
+def test_nested_layout(spark):
+    (record,) = parse_records(NESTED)
+    assert record.size == 45 and {n: x.offset for n, x in column_names(record)} == {"n": 0, "t": 1, "v": 22, "s": 26, "q": 30, "z": 34, "d": 37, "y": 37, "md": 41, "m": 41, "signed": 26}
+    row = spark.range(1).select(F.lit(2).alias("n"), F.expr("array(named_struct('a','xy','b',12,'g',array(1,2)), named_struct('a','z','b',7,'g',array(3,4)))").alias("t"), F.expr("array('p','q')").alias("v"), F.lit(Decimal("-12.5")).alias("s"), F.lit(-45).alias("q"), F.lit(0).alias("z"), F.lit(20260321).alias("d"))
+    line = row.select(fixed_width.encode(record).alias("value"))
+    assert line.first()[0] == "2xy01212z 00734       pq  012N-045   20260321"
+    got = line.select(*fixed_width.decode(F.col("value"), record)).first()
+    assert [tuple(x) for x in got.t][:2] == [("xy", 12, [1, 2]), ("z ", 7, [3, 4])] and got.v == ["p", "q"]
+    assert (got.s, got.q, got.z, got.y, got.m, got.signed) == (Decimal("-12.5"), -45, 0, 2026, 3, "012N-045")
+    month = next(x for x in record.walk() if x.name == "M")
+    assert value(spark, fixed_width.place(F.lit(line.first()[0]), month, F.lit(12))).endswith("20261221")
+    for text, wrong in (("01 R.\n 05 A PIC 9 COMP-3.", "binary records"), ("01 R.\n 05 A OCCURS 1 TO 2 DEPENDING ON B PIC 9.", "isn't in its record")):
+        with pytest.raises(ValueError, match=wrong):
+            fixed_width.decode(F.lit("1"), parse_records(text)[0])
+    with pytest.raises(ValueError, match="variable length"):
+        parse_records("01 R.\n 05 N PIC 9.\n 05 A OCCURS 1 TO 2 DEPENDING ON N PIC 9.\n 05 B REDEFINES A PIC 99.")
+
+
+@pytest.mark.parametrize(("x", "picture", "want"), [("1234.5", "$$$,$$9.99", " $1,234.50"), ("0", "ZZZ", "   "), ("-12345.678", "-ZZZ,ZZZ,ZZ9.99", "-     12,345.67"), ("7.5", "***9.99", "***7.50"), ("-3", "---9", "  -3"), ("-3", "ZZ9CR", "  3CR"), ("3", "ZZ9DB", "  3  "), ("20260102", "9999/99/99", "2026/01/02"), ("12", "99B99", "00 12"), ("3", "+ZZ9", "+  3"), ("56", "$***,**9.99", "$*****56.00"), ("505.97", "$$$,$$9.99", "   $505.97"), ("1234", "++,++9", "+1,234"[:6])])
+def test_edited_pictures(spark, x, picture, want):
+    assert value(spark, edited(F.lit(Decimal(x)), picture)) == want
