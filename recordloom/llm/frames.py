@@ -114,7 +114,7 @@ class FrameReader:
         return next(self.read([int(hit)]))[1] if hit < len(self.docs) and self.docs["doc_id"][hit] == doc_id else None
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, frame_tokens: int = 32_768, file_bytes: int = 64 << 20) -> list:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, frame_tokens: int = 32_768, file_bytes: int = 256 << 20) -> list:
     """Encode documents and write their ids in ascending doc_id order; returns rows bucket, path, docs, tokens, a file each.
 
     Files are order-preserving buckets of doc_id of about file_bytes of text, as many as there are shuffle partitions
