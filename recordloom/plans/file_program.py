@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from recordloom.functions.semantics import coerce, pad
 from recordloom.functions.strings import safe_name
 from recordloom.plans.copybook import Item, column_names, parse_records
+from recordloom.plans.corpus import is_free
 from recordloom.plans.procedure import SHOWN, Env, Program, Statement, Unsupported
 from recordloom.sources.files import AT_END, NO_FILE, OK, parse_file_control, parse_open
 from recordloom.sources.fixed_width import encode_struct
@@ -41,7 +42,12 @@ class FileProgram(Program):
     """A whole program text: FILE-CONTROL, the records of its FDs, WORKING-STORAGE and the PROCEDURE DIVISION."""
 
     def __init__(self, text: str, **more):
-        text = "\n".join(x[7:72] if re.match(r"^(?:\d{6}|\s{6})[\s]", x) else x for x in text.splitlines() if x[6:7] not in ("*", "/") or not re.match(r"^(?:\d{6}|\s{6})", x))
+        lines = text.splitlines()
+        if is_free(text):
+            lines = [x.split("*>")[0] for x in lines if not x.lstrip().startswith("*")]
+        else:
+            lines = [x[7:72] for x in lines if x[6:7] not in ("*", "/")]
+        text = "\n".join(lines)
         upper = text.upper()
 
         def part(start: str, *stops: str) -> str:

@@ -362,8 +362,11 @@ def corpus_sensitivity(spark, sf_dir):
     return named.select("p_partkey", "name", corpus.sensitivity(F.col("name")).alias("level"))
 
 
-@register(f"""SELECT category, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM (
- SELECT ['DB2 / SQL', 'CICS', 'DLI / IMS', 'File I/O', 'External CALL', 'Control Flow', 'String Ops', 'Data / MOVE', 'Arithmetic', 'Other'][CAST(p_partkey % {len(NOTES)} + 1 AS INTEGER)] AS category FROM part) GROUP BY category""")
+#: The categories' words as conditions of SQL, in their order.
+_CATEGORY = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(upper(text), {w!r})' for w in words)} THEN '{name}'" for name, words in corpus.CATEGORIES.items()) + " ELSE 'Other' END"
+
+
+@register(f"""SELECT category, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM (SELECT {_CATEGORY} AS category FROM (SELECT {_in_turn(NOTES)} AS text FROM part)) GROUP BY category""")
 def corpus_todo_triage(spark, sf_dir):
     return corpus.triage(table(spark, sf_dir, "part").select(_given(NOTES).alias("text")))
 
