@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from decimal import Decimal
 
@@ -27,8 +30,12 @@ __all__ = ["ORACLES", "QUERIES"]
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below the warehouse, which a cluster's executors share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/recordloom-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir or the warehouse, which a cluster's executors share; of one machine's session its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if spark.sparkContext.master.startswith("local["):
+        base = tempfile.mkdtemp(prefix="recordloom-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/recordloom-{uuid.uuid4().hex}"
 
 
 # layouts and arithmetic
