@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,14 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors must share.
 
-    Where that is unset, a session of one machine (master local[...]) gets a folder below its warehouse; on a cluster,
-    whose executors would each write to a disk of their own, it is an error.
+    Where that is unset, a session of one machine (master local[...], as in tests) gets a folder of its own that goes
+    with the process; on a cluster, whose executors would each write to a disk of their own, it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/recordloom-shared"
+        own = tempfile.mkdtemp(prefix="recordloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/recordloom-{uuid.uuid4().hex}"
 
