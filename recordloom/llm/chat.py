@@ -196,4 +196,9 @@ def read_back(windows: DataFrame) -> DataFrame:
 
 
 def format_and_read(turns: DataFrame, tokenizer: str = "word_bpe_49k.json", budget: Budget = Budget()) -> DataFrame:
+    """Windows of all conversations, written, and what `read_back` finds in them: a row for each conversation.
+
+    Null texts and roles are empty, rows of a null conv_id are one conversation with a null id, repeated rows are turns of
+    their own; an empty table gives an empty one. A very long turn has a window of its own and is held whole.
+    """
     return read_back(materialise(format_conversations(turns, tokenizer, budget)))

@@ -414,7 +414,8 @@ def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", lexi
 
     The lexicon holds the lexicon_words most frequent words of the corpus, a few MB: the driver compiles it, Spark
     broadcasts the file's bytes, and each task maps its executor's copy. Null text is empty: no ids, the digest of
-    nothing. Repeated rows give repeated rows; other columns are ignored.
+    nothing. Repeated rows give repeated rows; other columns are ignored; a null doc_id stays null. A very long text is
+    held whole, with its ids, by the task that encodes it; a word of any length is merged as a whole.
     """
     spark = docs.sparkSession
     merges = Merges(tokenizer)

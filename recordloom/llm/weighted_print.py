@@ -97,7 +97,9 @@ def fingerprints(docs: DataFrame, count: int = 32, buckets: int | None = None) -
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for every whole text.
 
     A term's weight is its number of occurrences. Null text is empty; a text without words has the fingerprint of
-    ones, which agrees with its like alone. Repeated rows are documents of their own. Everything behind the one
+    ones, which agrees with its like alone. Repeated rows are documents of their own; a null doc_id comes first in the
+    order. A very long text is one row until its terms are counted, then as many as it has distinct terms. With `count`
+    samples a likeness moves in steps of 1 / count and has a standard error of about sqrt(l (1 - l) / count). Everything behind the one
     exchange of texts, by bucket, keeps to that partitioning.
     """
     rows = with_next(docs, buckets or 8 * shuffle_partitions(docs.sparkSession))
