@@ -1,10 +1,11 @@
 """Exact Jaccard join of word-shingle sets by a size-aware heavy-light scheme.
 
-Sets of equal content are one class. In one global order of shingles (the most frequent last, else by hash) a set of
-n shingles shares with any partner at least one of its first n - o + 1 and at least two of its first n - o + 2, where
+Sets of equal content are one class. In one global order of shingles (those met in one set only first, the most
+frequent last, else by hash) a set of n shingles shares with any partner at least one of its first n - o + 1 and at least two of its first n - o + 2, where
 o = ceil(3 n / 4) is the least overlap at similarity 3/4. Small sets are indexed under all two-shingle subsets of the
 longer prefix and meet in equal subsets; large sets, and those small ones that could be a large one's partner, under
-the single shingles of the shorter prefix, whose inverted lists are scanned. The size where the ways part is the one
+the single shingles of the shorter prefix, whose inverted lists are scanned. Shingles that no other set has aren't
+indexed, so texts that share phrases by chance seldom meet, however many there are. The size where the ways part is the one
 of least estimated cost. Within a list, a parity bitmap of every set gives a sure lower bound of the symmetric
 difference; sets that may link are chained. What is chained together is then compared exactly, once, and where sets
 already lie in one component the rest of their comparisons is left out. Lists and groups too large for a task are
@@ -15,6 +16,7 @@ and no link is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -29,6 +31,8 @@ from recordloom.llm.components import connected
 WORDS = 5
 #: Stands for a null doc_id, so that it comes last.
 NOBODY = (1 << 63) - 1
+#: Shingles of lower hash, three of five, are counted; a prefix needs a quarter of a set.
+COUNTED = np.uint64(3 * (1 << 64) // 5)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -102,19 +106,66 @@ def _distinct_sets(shingles: Shingler, seen: set, batch: pa.RecordBatch) -> Iter
             yield s
 
 
-def prefix_counts(docs: DataFrame) -> DataFrame:
-    """token, c: how often each shingle stands among the first n - o + 1 by hash, over all sets."""
+def shingle_counts(docs: DataFrame) -> DataFrame:
+    """slot, c: how often the shingles of hash below COUNTED stand in the sets, by the lower 32 bits of their hash."""
 
     def per_slice():
         shingles, seen = Shingler(), set()
 
         def apply(batch: pa.RecordBatch) -> dict:
-            out = [s[: len(s) - overlap(len(s)) + 1] for s in _distinct_sets(shingles, seen, batch)]
-            return {"token": (np.concatenate(out) if out else np.zeros(0, np.uint64)).view(np.int64)}
+            out = [s[: np.searchsorted(s, COUNTED)] for s in _distinct_sets(shingles, seen, batch)]
+            return {"slot": (np.concatenate(out) if out else np.zeros(0, np.uint64)).astype(np.uint32).view(np.int32)}
 
         return apply
 
-    return map_arrow(docs.select("text"), per_slice, "token bigint", "text").groupBy("token").agg(F.count("*").alias("c"))
+    return map_arrow(docs.select("text"), per_slice, "slot int", "text").groupBy("slot").agg(F.count("*").alias("c"))
+
+
+@dataclass(frozen=True)
+class Order:
+    """The global order of shingles: unmarked ones, marked ones, those not counted, heavy ones, each by hash.
+
+    `marks` is a hashed bitmap (a power of two of bits) of the slots of repeated shingles below COUNTED; `heavy` are the sorted slots of the
+    most frequent ones. Whatever shingle is marked by mistake or missed, the order is a function of the hash alone,
+    so results don't depend on it. `single`: an unmarked shingle below COUNTED stands in one set at most.
+    """
+
+    marks: np.ndarray
+    heavy: np.ndarray
+    single: bool
+
+    def levels(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each shingle its level in the order, and whether another set may hold it."""
+        counted, slot = shingles < COUNTED, shingles.astype(np.uint32)
+        at = slot & np.uint32(8 * len(self.marks) - 1)
+        level = (self.marks[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8)) & 1
+        level[~counted] = 2
+        shared = (level > 0) | (not self.single)
+        if len(self.heavy):
+            i = np.minimum(np.searchsorted(self.heavy, slot), len(self.heavy) - 1)
+            level[(self.heavy[i] == slot) & counted] = 3
+        return level, shared
+
+
+def order_of(repeated: DataFrame, heavy: np.ndarray, most_bits: int = 1 << 29) -> Order:
+    """The order by a table (slot, c) of the slots counted twice or more; eight bits a slot, most_bits (64 MB) at most.
+
+    Where that would be over half full, only the more frequent slots are marked, and unmarked ones may be shared.
+    """
+    steps = {r["step"]: r["k"] for r in repeated.groupBy(F.floor(F.log2("c")).cast("int").alias("step")).agg(F.count("*").alias("k")).collect()}
+    step, marked = 1, sum(steps.values())
+    while 2 * marked > most_bits:
+        marked, step = marked - steps.get(step, 0), step + 1
+    bits = 1 << 15
+    while bits < min(8 * marked, most_bits):
+        bits *= 2
+    place = F.col("slot").cast("bigint").bitwiseAND(F.lit(bits - 1))
+    maps = repeated.where(F.col("c") >= 1 << step).select((place / 32768).cast("bigint").alias("_map"), (place % 32768).cast("bigint").alias("_at")).groupBy("_map").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    marks = np.zeros((bits // 32768, 4096), np.uint8)
+    for batch in maps.toArrow().to_batches():
+        for i, data in zip(batch.column("_map").to_pylist(), batch.column("_bits").to_pylist(), strict=True):
+            marks[i] = np.frombuffer(data, np.uint8)
+    return Order(marks.ravel(), heavy, step == 1)
 
 
 def boundary(sizes: dict[int, int], scan: float) -> int:
@@ -133,32 +184,38 @@ def boundary(sizes: dict[int, int], scan: float) -> int:
     return min((2, 6, 10, 16, 24, 32, 48, 64, 96, 128), key=cost)
 
 
-def postings(docs: DataFrame, heavy: np.ndarray, small: int) -> DataFrame:
-    """key, sid, n: the index entries of every distinct set."""
+def postings(docs: DataFrame, order: Order, small: int) -> DataFrame:
+    """key, sid, n: the index entries of every distinct set, but for those that no other set can have."""
+    shared_order = docs.sparkSession.sparkContext.broadcast(order)
 
     def per_slice():
-        shingles, seen = Shingler(), set()
+        shingles, seen, order = Shingler(), set(), shared_order.value
 
         def apply(batch: pa.RecordBatch) -> dict:
             keys, ids, sizes = [], [], []
-            for s in _distinct_sets(shingles, seen, batch):
-                n, sid = len(s), set_id(s)
-                if len(heavy):
-                    i = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-                    last = heavy[i] == s
-                    if last.any():
-                        s = np.concatenate([s[~last], s[last]])
-                p = n - overlap(n) + 1
+            sets = list(_distinct_sets(shingles, seen, batch))
+            levels, shared = order.levels(np.concatenate(sets)) if sets else (None, None)
+            end = 0
+            for s in sets:
+                n = len(s)
+                start, end = end, end + n
+                p, first = n - overlap(n) + 1, np.argsort(levels[start:end], kind="stable")
+                first = first[: p + 1]
+                met = shared[start:end][first]
+                if not met.any():
+                    continue
+                sid, one, s = set_id(s), met[:p], s[first]
                 if 1 < n < small:
-                    a, b = np.triu_indices(p + 1, 1)
-                    lo, hi = np.minimum(s[a], s[b]), np.maximum(s[a], s[b])
+                    both = s[met]
+                    a, b = np.triu_indices(len(both), 1)
+                    lo, hi = np.minimum(both[a], both[b]), np.maximum(both[a], both[b])
                     keys.append((lo * _ODD[0] ^ hi) * _ODD[1])
                     ids.append(np.full(len(a), sid))
                     sizes.append(np.full(len(a), n, np.int32))
                 if 4 * n >= 3 * small:
-                    keys.append(s[:p])
-                    ids.append(np.full(p, sid))
-                    sizes.append(np.full(p, n, np.int32))
+                    keys.append(s[:p][one])
+                    ids.append(np.full(len(keys[-1]), sid))
+                    sizes.append(np.full(len(keys[-1]), n, np.int32))
             if not keys:
                 return {"key": [], "sid": [], "n": []}
             return {"key": np.concatenate(keys).view(np.int64), "sid": np.concatenate(ids), "n": np.concatenate(sizes)}
@@ -412,15 +469,15 @@ def _labelled(docs: DataFrame, heavy_tokens: int = 131_072, heavy_from: int = 8,
     nobody = F.lit(NOBODY)
     pick = F.min(F.struct(F.coalesce("doc_id", nobody).alias("id"), F.col("_text").alias("text")))
     classes = sets.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), pick.alias("pick"), F.first("bits").alias("bits"))
-    counts = prefix_counts(docs)
-    frequent = materialise(counts.where(F.col("c") >= heavy_from))
-    heavy = most_frequent(frequent, "c", ["token"], heavy_tokens).toArrow()
-    tokens = np.sort(np.asarray(heavy["token"], np.int64).view(np.uint64))
+    repeated = materialise(shingle_counts(docs).where("c > 1"))
+    frequent = repeated.where(F.col("c") >= heavy_from)
+    heavy = most_frequent(frequent, "c", ["slot"], heavy_tokens).toArrow()
+    order = order_of(repeated, np.sort(np.asarray(heavy["slot"], np.int32).view(np.uint32)))
     sizes = {int(r["n"]): r["k"] for r in sets.groupBy("n").agg(F.count("*").alias("k")).collect()}
     rest = frequent.agg(F.coalesce(F.sum(F.when(F.col("c") < int(min(np.asarray(heavy["c"]), default=0)) + 1, F.col("c") * F.col("c"))), F.lit(0)).alias("s")).first()["s"]
     entries = sum(k * (n - overlap(n) + 1) for n, k in sizes.items())
     small = boundary(sizes, float(rest) / max(1, entries))
-    lists = materialise(lists_of(postings(docs, tokens, small), list_most)).withColumnRenamed("list", "group")
+    lists = materialise(lists_of(postings(docs, order, small), list_most)).withColumnRenamed("list", "group")
     glued = connected(_links_within(lists, ["n", "bits"], F.lit(1), list_most, may_link, lambda tasks: tasks.join(classes.select("sid", "n", "bits"), ["sid", "n"])))
     groups = materialise(glued.join(classes.select("sid", "n", "pick"), F.col("node") == F.col("sid")).select("sid", "n", "pick", F.col("label").alias("group")))
     here = docs.withColumn("_id", F.coalesce("doc_id", nobody))

@@ -497,6 +497,21 @@ def test_large_groups_lose_no_link(spark):
     assert got == brute(rows)
 
 
+def test_chance_repeats_are_not_indexed(spark):
+    """Texts that share a third of their shingles with others, but link with none, leave hardly an index entry."""
+    rng = random.Random(8)
+    phrases = [[f"p{k}w{i}" for i in range(25)] for k in range(40)]
+    rows = [(d, " ".join(w for j in range(4) for w in [*rng.choice(phrases), *(f"d{d}u{j}w{i}" for i in range(45))])) for d in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    repeated = shingle_join.shingle_counts(docs).where("c > 1")
+    order = shingle_join.order_of(repeated, np.zeros(0, np.uint32))
+    assert order.single and shingle_join.postings(docs, order, 2).count() < 0.01 * 120 * 70
+    # a bitmap too small for all marks leaves unmarked shingles in the index, and the links as they are
+    full = shingle_join.order_of(repeated, np.zeros(0, np.uint32), 1 << 8)
+    assert not full.single and shingle_join.postings(docs, full, 2).count() > 120 * 60
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.components(docs, 8, 2).collect()} == brute(rows)
+
+
 def test_components_are_never_left_unfinished(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
     assert {tuple(r) for r in connected(path).collect()} == {(i, 0) for i in range(41)}
