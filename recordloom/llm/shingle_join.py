@@ -334,28 +334,38 @@ def _groups(columns: list[str], solve) -> object:
 
 
 def may_link(rows: list) -> Iterator[tuple[int, int]]:
-    """Chains sets (sid, n, bits) whose bitmaps leave a link possible: a forest, found by widening from one set at a time."""
-    ids = [r[0] for r in rows]
-    n = np.array([r[1] for r in rows], np.int64)
-    width = min(len(r[2]) for r in rows)
-    bits = np.zeros((len(rows), width // 8), np.uint64)
+    """Chains sets (sid, n, bits) whose bitmaps leave a link possible: a forest, found by widening from one set at a time.
+
+    Sets that can link have bitmaps of one width or of one and its double, and meet at the smaller; so small sets in a
+    list don't blur what is known of large ones.
+    """
+    ids, n = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
+    widths: dict[int, list[int]] = {}
     for i, r in enumerate(rows):
-        x = np.frombuffer(r[2], np.uint64)
-        while len(x) > width // 8:  # parities fold
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        bits[i] = x
-    free = np.arange(len(rows))
-    while len(free) > 1:
-        front, free = [int(free[0])], free[1:]
-        while front and len(free):
-            i = front.pop()
-            apart = np.bitwise_count(bits[free] ^ bits[i]).sum(1, dtype=np.int64)
-            near = (7 * apart <= n[free] + n[i]) & (4 * np.minimum(n[free], n[i]) >= 3 * np.maximum(n[free], n[i]))
-            hit = free[near].tolist()
-            for j in hit:
-                yield ids[i], ids[j]
-            front += hit
-            free = free[~near]
+        widths.setdefault(len(r[2]), []).append(i)
+    held, free = {}, {}
+    for w, at in widths.items():
+        own = np.frombuffer(b"".join(rows[i][2] for i in at), np.uint64).reshape(len(at), -1)
+        half = own.shape[1] // 2
+        held[w], free[w] = (np.array(at), own, own[:, :half] ^ own[:, half:]), np.arange(len(at))  # parities fold
+    for w in held:
+        while len(free[w]):
+            front, free[w] = [(w, int(free[w][0]))], free[w][1:]
+            while front:
+                v, k = front.pop()
+                i = int(held[v][0][k])
+                for u in (v // 2, v, 2 * v):
+                    if u not in held or not len(free[u]):
+                        continue
+                    at, others = held[u][0], free[u]
+                    apart = np.bitwise_count(held[u][2 if u > v else 1][others] ^ held[v][2 if u < v else 1][k]).sum(1, dtype=np.int64)
+                    m = n[at[others]]
+                    near = (7 * apart <= m + n[i]) & (4 * np.minimum(m, n[i]) >= 3 * np.maximum(m, n[i]))
+                    hit = others[near].tolist()
+                    for j in hit:
+                        yield ids[i], ids[int(at[j])]
+                    front += [(u, j) for j in hit]
+                    free[u] = others[~near]
 
 
 def linked(rows: list) -> Iterator[tuple[int, int]]:

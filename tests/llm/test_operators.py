@@ -512,6 +512,19 @@ def test_chance_repeats_are_not_indexed(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.components(docs, 8, 2).collect()} == brute(rows)
 
 
+def test_small_sets_do_not_blur_large_ones():
+    """Unrelated sets of a list whose sizes rise step by step aren't chained; sets that link are, across widths too."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(60 * 1.2**k), np.uint64)) for k in range(24)]
+    large = [np.unique(rng.integers(0, 1 << 63, 3000, np.uint64)) for _ in range(20)]
+    apart = [(k, len(s), shingle_join.bitmap(s)) for k, s in enumerate([*sets, *large])]
+    assert not list(shingle_join.may_link(apart))
+    copies = [s[: len(s) * 4 // 5] for s in sets]
+    rows = apart + [(100 + k, len(s), shingle_join.bitmap(s)) for k, s in enumerate(copies)]
+    assert len({r[2].__len__() for r in rows}) > 4
+    assert sorted(tuple(sorted(e)) for e in shingle_join.may_link(rows)) == [(k, 100 + k) for k in range(24)]
+
+
 def test_components_are_never_left_unfinished(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
     assert {tuple(r) for r in connected(path).collect()} == {(i, 0) for i in range(41)}
