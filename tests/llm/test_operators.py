@@ -5,10 +5,13 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from recordloom.llm import chat, context_tree, frames, lexicon, packing, quality_model, rule_list, sharding, shingle_join, weighted_print
-from recordloom.llm.common import tokenizer_path
+from recordloom.llm.common import tokenizer_path, word_codes
 from recordloom.llm.components import connected
 
 SCHEMA = "doc_id bigint, text string, n bigint, length bigint, sid bigint, row bigint, _b int"
@@ -286,6 +289,65 @@ def test_context_tree(docs, head, monkeypatch):
         assert np.allclose([r[3:] for r in got], [r[3:] for r in want], rtol=1e-7)
 
 
+def test_word_codes_are_plain_splits():
+    texts = ["", None, " ", " A b", "b\x0b\x0cC \n", "\x1cx\x85 \u00a0É", "b" * 300 + "\t\tb", "a"]
+    codes, sizes, words = word_codes(pa.record_batch({"text": pa.array(texts)}))
+    got = iter([words[c].as_py() for c in codes.tolist()])
+    assert [[next(got) for _ in range(n)] for n in sizes.tolist()] == [[*(t or "").encode().lower().split(), b""] for t in texts]
+    assert next(got, None) is None
+
+
+def test_common_words_forget_none_that_is_common(monkeypatch):
+    """Words at the very limit, in one part or in all, are candidates however chunks are cut."""
+    rng = random.Random(5)
+    words = ["edge"] * 40 + ["late"] * 40 + [f"w{rng.randrange(3000)}" for _ in range(39 * 100 + 20)]
+    head, tail = words[:40] + words[80:], words[40:80]
+    rng.shuffle(head)
+    texts = [" ".join(head[i : i + 50]) for i in range(0, len(head), 50)] + [" ".join(tail)]
+    run = _per_slice(monkeypatch, lambda docs: context_tree.common_words(docs, 100, 300))
+    for text in texts:
+        run(pa.record_batch({"text": [text]}))
+    (found,) = run.finish()
+    often = {w.encode() for w, n in Counter(words).items() if n * 100 >= len(words)}
+    assert {b"edge", b"late"} <= often <= set(found["word"].to_pylist()) and len(found["word"]) <= 8 / 7 * 100
+
+
+def _per_slice(monkeypatch, call):
+    """The function from slices to columns that a pass of the context tree hands to map_arrow."""
+    held = []
+
+    def catch(df, per_slice, *_, **__):
+        held.append(per_slice())
+        raise StopIteration
+
+    monkeypatch.setattr(context_tree, "map_arrow", catch)
+    with pytest.raises(StopIteration):
+        call(SimpleNamespace(select=lambda *_: None))
+    return held[0]
+
+
+def test_counting_words_costs_a_few_splits(monkeypatch):
+    """Rare words cost no Python object each: with many of them the pass took five times as long as splitting the texts."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 10**9}x" for _ in range(400)) for _ in range(512)]
+    batch = pa.record_batch({"text": texts, "train": [True] * 512})
+    raw = [t.encode() for t in texts]
+    split, count = [], []
+    for _ in range(3):
+        at = time.process_time()
+        for _ in range(4):
+            assert [t.lower().split() for t in raw]
+        split.append(time.process_time() - at)
+        run = _per_slice(monkeypatch, lambda docs: context_tree.class_counts(docs, {b"w1x": 0}))
+        at = time.process_time()
+        for _ in range(4):
+            run(batch)
+        rows = [pa.record_batch([pa.array(x[c]) for c in ("word", "class", "n")], ["word", "class", "n"]) for x in run.finish()]
+        count.append(time.process_time() - at)
+        assert sum(r.column("n").to_numpy().sum() for r in rows) == 4 * 512 * 401
+    assert min(count) < 3.4 * min(split)
+
+
 def test_context_tree_of_nothing(docs, empty):
     assert context_tree.score_documents(empty).count() == 0
     untrained = context_tree.score(docs.where("doc_id < 12"), F.lit(False)).collect()
