@@ -8,16 +8,16 @@ import json
 import os
 import tempfile
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import kept, map_arrow, materialise, most_frequent, text_bytes, tokenizer_path
+from recordloom.llm.common import kept, map_arrow, materialise, most_frequent, summed_by, text_bytes, tokenizer_path
 
 #: The public split pattern of byte-level vocabularies, a fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -238,7 +238,7 @@ class Transducer:
     def map(cls, path: str) -> Transducer:
         with open(path, "rb") as f:
             head = json.loads(f.read(4096).rstrip(b"\0"))
-        return cls({name: np.memmap(path, kind, "r", at, (n,)) if n else np.zeros(0, kind) for name, kind, at, n in head})
+        return cls({name: np.asarray(np.memmap(path, kind, "r", at, (n,))) if n else np.zeros(0, kind) for name, kind, at, n in head})
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Rank of each word in the lexicon or -1: all words walk the automaton together, a byte a step."""
@@ -269,37 +269,58 @@ _CONTROL = bytes([9, 11, 12, 13, 28, 29, 30, 31])
 _MARKS = (b"  ", b"\n ", b" \n", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80")
 
 
+def _even(text: bytes) -> bool:
+    """Whether a text may be cut at every blank."""
+    marks = _MARKS[:3] if text.isascii() else _MARKS
+    return not (len(text.translate(None, _CONTROL)) < len(text) or any(m in text for m in marks) or text[:1].isspace() or text[-1:].isspace())
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Cut at every blank between two characters that aren't white space; token splits never cross such a place.
 
     All words but the first stand for themselves with the blank before them.
     """
-    marks = _MARKS[:3] if text.isascii() else _MARKS
-    if len(text.translate(None, _CONTROL)) < len(text) or any(m in text for m in marks) or text[:1].isspace() or text[-1:].isspace():
-        return [w.encode("utf-8") for w in _INSIDE.split(text.decode("utf-8"))]
-    return text.split(b" ")
+    return text.split(b" ") if _even(text) else [w.encode("utf-8") for w in _INSIDE.split(text.decode("utf-8"))]
 
 
-def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
-    """The most frequent words (blank included) over all whole texts, by count and then by bytes."""
+def word_codes(texts: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray, pa.Array]:
+    """words_of of many texts: the texts' order, the number of words of each in it, a code for each word, the distinct words by code."""
+    even = [i for i, t in enumerate(texts) if _even(t)]
+    lists = pc.split_pattern(pa.array([texts[i] for i in even], pa.binary()), b" ")
+    rest = sorted({*range(len(texts))}.difference(even))
+    odd = [words_of(texts[i]) for i in rest]
+    coded = pa.concat_arrays([lists.flatten(), pa.array([w for t in odd for w in t], pa.binary())]).dictionary_encode()
+    sizes = np.concatenate([np.diff(lists.offsets.to_numpy()), np.array([len(t) for t in odd], np.int64)]).astype(np.int64)
+    return even + rest, sizes, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
-    def per_slice():
-        held: Counter = Counter()
 
-        def take() -> dict:
-            out = {"word": list(held), "n": list(held.values())}
-            held.clear()
-            return out
+def frequent_words(docs: DataFrame, most: int, most_rows: int = 1_500_000) -> list[bytes]:
+    """The most frequent words (blank included) over all whole texts, by count and then by bytes. A task adds up the words of
+    its slices; most_rows bounds those it holds, and 64 bytes for each of them."""
 
-        def apply(batch: pa.RecordBatch) -> dict | None:
-            for text in text_bytes(batch):
-                held.update(words_of(text)[1:])
-            return take() if len(held) > 400_000 else None
-
-        def finish() -> Iterator[dict]:
-            yield take()
-
-        apply.finish = finish
+    def per_slice():
+        parts: list[pa.Table] = []
+        rows = size = 0
+
+        def take() -> Iterator[dict]:
+            nonlocal rows, size
+            if parts:
+                whole = summed_by(parts, ["word"]).combine_chunks()
+                parts.clear()
+                rows = size = 0
+                for batch in whole.to_batches(65_536):
+                    yield {c: batch.column(c) for c in ("word", "n")}
+
+        def apply(batch: pa.RecordBatch) -> Iterator[dict] | None:
+            nonlocal rows, size
+            _, sizes, codes, words = word_codes(text_bytes(batch))
+            n = np.bincount(codes, minlength=len(words)) - np.bincount(codes[np.cumsum(sizes) - sizes], minlength=len(words))  # all but the first
+            at = np.flatnonzero(n)
+            parts.append(pa.table({"word": words.take(pa.array(at)), "n": n[at]}))
+            rows, size = rows + len(at), size + parts[-1].nbytes
+            return take() if rows >= most_rows or size >= most_rows << 6 else None
+
+        apply.finish = take
         return apply
 
     counts = map_arrow(docs.select("text"), per_slice, "word binary, n bigint", "text", quiet=True).groupBy("word").agg(F.sum("n").alias("n"))
@@ -309,18 +330,20 @@ def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
 class Encoder:
     """Ids and decoded bytes of texts: words through the transducer, unknown ones by merging, each kept in a bounded cache.
 
-    By a word's code, texts has its ids joined by commas and bytes what those ids decode to.
+    Of a word, its ids joined by commas and what those ids decode to are kept: for good if the lexicon has it, else in two
+    generations; when the younger is half of the cache, the elder goes, but for what has been met again since.
     """
 
     def __init__(self, merges: Merges, lexicon: Transducer, cache_words: int = 450_000):
         self.merges, self.lexicon, self.limit = merges, lexicon, cache_words
-        self.codes: dict[bytes, int] = {}
-        self.texts: list[str] = []
-        self.bytes: list[bytes] = []
+        self.common: dict[bytes, tuple[str, bytes]] = {}
+        self.shown: dict[bytes, tuple[str, bytes]] = {}
+        self.elder: dict[bytes, tuple[str, bytes]] = {}
         self.trails: dict[bytes, tuple[str, bytes]] = {}
+        self.names = {i: str(i) for i in merges.bytes}
 
     def _shown(self, ids: list[int]) -> tuple[str, bytes]:
-        return ",".join(map(str, ids)), decode(ids, self.merges.bytes)
+        return ",".join(map(self.names.__getitem__, ids)), decode(ids, self.merges.bytes)
 
     def _learn(self, words: list[bytes]) -> None:
         """Take in words, which stand without the blank before them.
@@ -329,12 +352,17 @@ class Encoder:
         bare words merge together.
         """
         ranks = self.lexicon.find([b" " + w for w in words]).tolist()
+        starts, listed = self.lexicon.starts, self.lexicon.ids
         plain: dict[bytes, int] = {}
         parts: list = []
-        codes, texts, shown = self.codes, self.texts, self.bytes
+        common, shown = self.common, self.shown
         for word, rank in zip(words, ranks, strict=True):
             if rank >= 0:
-                parts.append(self._shown(self.lexicon.ids_of(rank).tolist()))
+                parts.append(None)
+                common[word] = self._shown(listed[starts[rank] : starts[rank + 1]].tolist())
+                continue
+            if word.isalpha():
+                parts.append([plain.setdefault(b" " + word, len(plain))])
                 continue
             atoms, blank = [], True
             for line in word.split(b"\n") if b"\n" in word else (word,):
@@ -344,8 +372,9 @@ class Encoder:
                 trail = line[len(core) :]
                 if not blank:
                     atoms.append(self._marks(b"\n"))
-                if blank and trail and core in codes:
-                    atoms.append((texts[codes[core]], shown[codes[core]]))
+                known = (common.get(core) or shown.get(core)) if blank and trail else None
+                if known is not None:
+                    atoms.append(known)
                 else:
                     atoms.append(plain.setdefault(b" " + core if blank else core, len(plain)))
                 if trail:
@@ -360,9 +389,8 @@ class Encoder:
             if isinstance(part, list):
                 pairs = [merged[x] if isinstance(x, int) else x for x in part]
                 part = pairs[0] if len(pairs) == 1 else (",".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs]))
-            codes[word] = len(texts)
-            texts.append(part[0])
-            shown.append(part[1])
+            if part is not None:
+                shown[word] = part
 
     def _marks(self, trail: bytes) -> tuple[str, bytes]:
         found = self.trails.get(trail)
@@ -375,24 +403,42 @@ class Encoder:
     def batch(self, texts: list[bytes]) -> Iterator[tuple[str, bytes]]:
         """For each text its ids, joined by commas, and the bytes they decode to."""
         special = [s.encode() for s in self.merges.special]
-        split = [None if any(s in t for s in special) else words_of(t) for t in texts]
-        new: set[bytes] = set()
-        for words in split:
-            new.update(set(words[1:] if words else ()).difference(self.codes))
-        if len(self.codes) + len(new) > self.limit:
-            self.codes.clear()
-            self.texts.clear()
-            self.bytes.clear()
-            new = {w for words in split for w in (words or ())[1:]}
-        if new:
-            self._learn(list(new))
-        get, ids_of, bytes_of = self.codes.__getitem__, self.texts.__getitem__, self.bytes.__getitem__
-        for text, words in zip(texts, split, strict=True):
-            # a text's first word has no blank before it; a text with special tokens goes as one
-            first = self._shown(self.merges.encode((words[0] if words else text).decode("utf-8")))
-            codes = list(map(get, words[1:])) if words else []
-            ids = [first[0], *map(ids_of, codes)] if first[0] else list(map(ids_of, codes))
-            yield ",".join(ids), first[1] + b"".join(map(bytes_of, codes))
+        # a text's first word has no blank before it; a text with special tokens goes as one
+        whole = {i: self._shown(self.merges.encode(t.decode("utf-8"))) for i, t in enumerate(texts) if any(s in t for s in special)}
+        parted = [i for i in range(len(texts)) if i not in whole]
+        order, sizes, at, distinct = word_codes([texts[i] for i in parted])
+        names, starts = distinct.to_pylist(), np.cumsum(sizes) - sizes
+        first = [self._shown(self.merges.encode(names[c].decode("utf-8"))) for c in at[starts].tolist()]
+        later = np.ones(len(at), bool)
+        later[starts] = False
+        used = np.flatnonzero(np.bincount(at[later], minlength=len(names)))
+        words = [names[i] for i in used.tolist()]
+        new = [w for w in words if w not in self.common and w not in self.shown]
+        if len(self.shown) + len(new) > self.limit // 2:
+            self.elder, self.shown = self.shown, {}
+            new = [w for w in words if w not in self.common]
+        again = [w for w in new if w in self.elder]
+        self.shown.update(zip(again, map(self.elder.__getitem__, again), strict=True))
+        self._learn([w for w in new if w not in self.elder] if again else new)
+        pairs = first + [self.common.get(w) or self.shown[w] for w in words]
+        value = np.zeros(len(names), np.int64)
+        value[used] = np.arange(len(first), len(first) + len(used))
+        value = value[at]
+        value[starts] = np.arange(len(first))
+        # an empty first word has no ids, and no comma behind it
+        there = np.ones(len(at), bool)
+        there[starts] = [bool(text) for text, _ in first]
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(there, starts, dtype=np.int64))]) if len(starts) else [0], pa.int64())
+        value = pa.array(value[there])
+
+        def joined(shown: list, kind: pa.DataType, by: str | bytes) -> dict[int, str | bytes]:
+            lists = pa.LargeListArray.from_arrays(ends, pa.array(shown, kind).take(value))
+            return dict(zip((parted[i] for i in order), pc.binary_join(lists, pa.scalar(by, kind)).to_pylist(), strict=True))
+
+        ids = joined([text for text, _ in pairs], pa.large_string(), ",")
+        raw = joined([data for _, data in pairs], pa.large_binary(), b"")
+        for i in range(len(texts)):
+            yield whole[i] if i in whole else (ids[i], raw[i])
 
 
 def decode(ids: list[int], table: dict[int, bytes]) -> bytes:

@@ -123,6 +123,23 @@ def test_encoding(docs, empty):
     assert lexicon.encode_documents(empty).count() == 0
 
 
+def test_words_met_again_are_not_merged_again(monkeypatch):
+    """Words of the lexicon are taken from it once, others that come again soon are merged once; odd texts are split as ever."""
+    merges = lexicon.Merges("byte_bpe_50k.json")
+    lasting = {f" lasting{c}".encode(): merges.encode(f" lasting{c}") for c in "abcde"}
+    encoder = lexicon.Encoder(merges, lexicon.Transducer.compile(lasting), cache_words=60)
+    learnt, plain = Counter(), lexicon.Encoder._learn
+    monkeypatch.setattr(lexicon.Encoder, "_learn", lambda self, words: (learnt.update(words), plain(self, words))[1])
+    often = [f"often{c}" for c in "vwxyz"]
+    odd = ["", " x  y ", "a\u00a0b c\x1c d", "<|endoftext|> lastinga oftenv.", "vw\n\nq oftenv\noften?! l'\u00e9t\u00e9 \u0661\u0662 x"]
+    texts = [" ".join(["so", *often, *(w.decode().strip() for w in lasting), *(f"once{chr(97 + i // 26)}{chr(97 + i % 26)}{c}." for c in "klmnop")]) for i in range(60)]
+    texts[7:7], texts[50:50] = odd, odd
+    for at in range(0, len(texts), 2):
+        for text, (ids, raw) in zip(texts[at : at + 2], encoder.batch([t.encode() for t in texts[at : at + 2]]), strict=True):
+            assert [int(i) for i in ids.split(",") if i] == merges.encode(text) and raw == text.encode()
+    assert {learnt[w.encode()] for w in often} | {learnt[w.strip()] for w in lasting} == {1}
+
+
 def test_sharding(docs, empty):
     """Shards by the hash's definition; sizes and checksums of the texts; slots without gaps; growth takes rows into the new shard alone."""
     weights = [1.0, 2.0, 0.0]
