@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from recordloom.llm.common import kept, tokenizer_path
+from recordloom.llm.common import kept, listed, tokenizer_path
 
 #: What may trail a word: one run of it behind an ASCII letter is always a token group of its own.
 TRAIL = b".,;:!?*$%&#"
@@ -20,7 +22,8 @@ class WordEncoder:
     those of its words in order. Words split at ASCII white space; a word's ids are kept in a cache bounded by bytes,
     in two generations: when the younger is half of it, the elder goes, but for what has been met again since.
     Lower case is folded first only where no special token could be made by it. New words go to the tokenizer
-    together, parted by a separator that none of them holds; marks that trail a word are looked up apart.
+    together, parted by a separator that none of them holds, or, those of A to Z alone, by the tokens that end a group, if the
+    vocabulary marks these; marks that trail a word are looked up apart.
     """
 
     #: Bytes that a cached word takes besides its own and its ids': two objects and a place in the table.
@@ -36,6 +39,13 @@ class WordEncoder:
         self.separator = separator.encode()
         ids = self.tokenizer.encode(separator, add_special_tokens=False).ids
         self.mark = ids[0] if len(ids) == 1 else None
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: By id, whether a token ends a group; none where groups have no mark of their own.
+        self.last = np.zeros(0, bool)
+        if suffix and not any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values()):
+            vocab = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.cache: dict[bytes, bytes] = {}
         self.elder: dict[bytes, bytes] = {}
         self.size, self.limit = 0, cache_bytes // 2
@@ -49,6 +59,21 @@ class WordEncoder:
         for word in apart:
             self.cache[word] = self._ids(word.decode("utf-8")).tobytes()
         plain = words if not apart else [w for w in words if w not in self.cache]
+        letters = [w for w in plain if w.isalpha()] if len(self.last) else []
+        for at in range(0, len(letters), 20_000):
+            # of A to Z alone, so each is one group
+            part = letters[at : at + 20_000]
+            ids = self._ids(b" ".join(part).decode("utf-8"))
+            cuts = np.flatnonzero(self.last[ids])
+            if len(cuts) != len(part):
+                letters = letters[:at]
+                break
+            data, first = ids.tobytes(), 0
+            for word, cut in zip(part, (4 * cuts + 4).tolist(), strict=True):
+                self.cache[word] = data[first:cut]
+                first = cut
+        if letters:
+            plain = [w for w in plain if w not in self.cache]
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
             ids = self._ids((b" " + self.separator + b" ").join(part).decode("utf-8"))
@@ -62,7 +87,7 @@ class WordEncoder:
         self._grown(words)
 
     def _grown(self, words: list[bytes]) -> None:
-        self.size += sum(len(w) + len(self.cache[w]) for w in words) + self.COST * len(words)
+        self.size += sum(map(len, words)) + sum(map(len, map(self.cache.__getitem__, words))) + self.COST * len(words)
 
     def _met_again(self, words: set[bytes]) -> set[bytes]:
         """Take over what the elder generation has; returns the rest."""
@@ -88,21 +113,19 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        split = []
-        for text in texts:
-            low = text.lower()
-            split.append((text if b"<|" in low else low).split())
+        low = [t if b"<|" in x else x for t, x in ((t, t.lower()) for t in texts)]
+        lists = pc.ascii_split_whitespace(pa.array(low, pa.large_binary()).view(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        words = listed(coded.dictionary.view(pa.large_binary()))  # white space at an end of a text makes an empty one
         cache = self.cache
-        new: set[bytes] = set()
-        for words in split:
-            new.update(set(words).difference(cache))
+        new = {w for w in words if w and w not in cache}
         if new and self.size > self.limit:
             self.elder, self.cache, self.size = cache, {}, 0
-            cache, new = self.cache, {w for words in split for w in words}
+            cache, new = self.cache, {w for w in words if w}
         if new:
             self._missing(self._met_again(new))
-        get = cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        ids = pa.array([cache[w] if w else b"" for w in words], pa.large_binary()).take(coded.indices)
+        return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, ids), pa.scalar(b"", pa.large_binary())).to_pylist()
 
 
 def shared_encoder(name: str) -> WordEncoder:

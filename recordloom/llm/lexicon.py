@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import kept, map_arrow, materialise, most_frequent, summed_by, text_bytes, tokenizer_path
+from recordloom.llm.common import kept, listed, map_arrow, materialise, most_frequent, summed_by, text_bytes, tokenizer_path
 
 #: The public split pattern of byte-level vocabularies, a fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -407,7 +407,7 @@ class Encoder:
         whole = {i: self._shown(self.merges.encode(t.decode("utf-8"))) for i, t in enumerate(texts) if any(s in t for s in special)}
         parted = [i for i in range(len(texts)) if i not in whole]
         order, sizes, at, distinct = word_codes([texts[i] for i in parted])
-        names, starts = distinct.to_pylist(), np.cumsum(sizes) - sizes
+        names, starts = listed(distinct), np.cumsum(sizes) - sizes
         first = [self._shown(self.merges.encode(names[c].decode("utf-8"))) for c in at[starts].tolist()]
         later = np.ones(len(at), bool)
         later[starts] = False

@@ -21,6 +21,7 @@ from tokenizers import Tokenizer
 from recordloom.llm import chat, context_tree, frames, lexicon, packing, quality_model, rule_list, sharding, shingle_join, weighted_print
 from recordloom.llm.common import tokenizer_path, word_codes
 from recordloom.llm.components import connected
+from recordloom.llm.encoders import WordEncoder
 
 SCHEMA = "doc_id bigint, text string, n bigint, length bigint, sid bigint, row bigint, _b int"
 
@@ -81,6 +82,17 @@ def test_packing(docs, empty, rule):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_words_of_letters_need_no_separators(monkeypatch):
+    """Words of A to Z alone are parted by the tokens that end them; ids are those of each text by itself."""
+    encoder, read = WordEncoder("word_bpe_49k.json"), []
+    plain = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda text: (read.append(text), plain(text))[1])
+    texts = ["", " Some words, somewords.\t", "it's I'll x1 y2z \u00e9t\u00e9 | a|b", "<|endoftext|> Some", "thingering ofthing\x0bnotion " * 3, "b" * 300]
+    got = encoder.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert any("thingering" in t for t in read) and not any("|" in t for t in read if "thingering" in t)
+
+
 def test_best_fit_serves_bins_one_by_one():
     """Runs of equal bins give what serving every piece alone gives, by either rule."""
     rng = random.Random(8)
