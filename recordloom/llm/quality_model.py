@@ -11,10 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import fold, map_arrow, text_bytes
+from recordloom.llm.common import fold, listed, map_arrow, text_bytes, word_codes
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Words of more bytes are not cached; their n-grams are hashed as arrays, CHUNK places at a time.
+#: In bags, words of more bytes are not cached. N-grams of these, and of all words in scoring, are hashed as arrays, CHUNK places at a time.
 LONG, CHUNK = 64, 1 << 18
 _P1, _P2, _P3, _P4, _P5 = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263, 374761393))
 
@@ -86,6 +86,33 @@ class Features:
             for at in range(0, len(data) - n + 1, CHUNK):
                 yield window_hashes(data[at : at + CHUNK + n - 1], n).astype(np.int64) % self.shape.buckets
 
+    def sums(self, words: list[bytes], scalar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word the sum of `scalar` over its own and its n-grams' buckets, how many these are, and its hash; an empty word has none.
+
+        A word's sum depends on the word alone, not on what stands beside it.
+        """
+        top = self.shape.buckets
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        padded = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        sums, ends, first = scalar[(hashes % np.uint64(top)).astype(np.int64)].astype(np.float64), np.cumsum(padded), 0
+        while first < len(words):
+            base = int(ends[first] - padded[first])
+            last = max(first + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
+            if padded[first] > CHUNK:
+                sums[first] += sum(float(scalar[part].sum(dtype=np.float64)) for part in self.grams(words[first]))
+            else:
+                data = np.frombuffer(b"<" + b"><".join(words[first:last]) + b">", np.uint8)
+                left = np.repeat((ends[first:last] - base).astype(np.int32), padded[first:last]) - np.arange(len(data), dtype=np.int32)
+                found = np.zeros(len(data))
+                for n in range(self.shape.low, min(self.shape.high, len(data)) + 1):
+                    grams = scalar[window_hashes(data, n) % np.uint32(top)]
+                    found[: len(grams)] += np.where(left[: len(grams)] >= n, grams, 0)  # windows that end in the next word don't count
+                sums[first:last] += np.add.reduceat(found, ends[first:last] - padded[first:last] - base)
+            first = last
+        counts = 1 + sum(np.maximum(padded - n + 1, 0) for n in range(self.shape.low, self.shape.high + 1))
+        sums[padded == 2] = counts[padded == 2] = 0
+        return sums, counts, hashes
+
     def forget_long(self) -> None:
         self.long.clear()
 
@@ -195,30 +222,16 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
     def per_slice():
         features = Features(shape)
-        sums: list[float] = []
-        sizes: list[int] = []
 
         def apply(batch: pa.RecordBatch) -> dict:
-            if features.reset_if_full():
-                sums.clear()
-                sizes.clear()
-            word = features.word
-            texts = [[word(w) for w in t.split()] for t in text_bytes(batch)]
-            for part in features.parts[len(sums) :]:
-                sums.append(float(scalar[part].sum()))
-                sizes.append(len(part))
-            for c, w in features.long.items():
-                for part in features.grams(w):
-                    sums[c] += float(scalar[part].sum(dtype=np.float64))
-                    sizes[c] += len(part)
-            features.forget_long()
-            total, count = np.zeros(len(texts)), np.zeros(len(texts))
-            by, size, hashes = np.array(sums), np.array(sizes, np.int64), np.array(features.hashes, np.uint64)
-            for i, codes in enumerate(texts):
-                if codes:
-                    codes = np.array(codes)
-                    total[i] = by[codes].sum() + scalar[features.pairs(hashes[codes])].sum()
-                    count[i] = size[codes].sum() + len(codes) - 1
+            codes, sizes, words = word_codes(batch, lower=False)
+            sums, counts, hashes = features.sums(listed(words), scalar)
+            by, real, starts = sums[codes], counts[codes] > 0, np.cumsum(sizes) - sizes
+            for at in range(0, len(codes) - 1, CHUNK):
+                both = real[at : at + CHUNK + 1]
+                by[at + 1 : at + CHUNK + 1] += np.where(both[:-1] & both[1:], scalar[features.pairs(hashes[codes[at : at + CHUNK + 1]])], 0)
+            # every text has a place at least, as an empty word stands behind its last
+            total, count = np.add.reduceat(by, starts), np.add.reduceat(counts[codes], starts) + np.maximum(sizes - 2, 0)
             logit = total / np.maximum(count, 1) + bias
             return {c: batch.column(c) for c in names} | {"score": 1 / (1 + np.exp(-np.clip(logit, -500, 500)))}
 

@@ -489,6 +489,49 @@ def test_long_words_have_the_n_grams_of_short_ones(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(whole, quality_model.Features(quality_model.Shape()).bag(text), strict=True))
 
 
+def _scorer(monkeypatch, model):
+    """The function from slices to columns with which a model scores texts."""
+    held = []
+    monkeypatch.setattr(quality_model, "map_arrow", lambda df, per_slice, *_: held.append(per_slice()))
+    quality_model.score(SimpleNamespace(select=lambda *_: SimpleNamespace(schema=[])), model, ["text"])
+    return held[0]
+
+
+@pytest.mark.parametrize("chunk", [5, 40, 1 << 18])
+def test_scores_of_a_slice_are_those_of_each_text(monkeypatch, chunk):
+    """However words are cut into chunks, a text's score is that of its bag, and its neighbours don't move it."""
+    rng = random.Random(8)
+    texts = ["", None, " ", "a", " É  a\tA ", "b\x0b\x0cab \n", "\x1cx\x85 \u00a0É", "long" * 30 + " a", *(t for _, t in corpus(9, 40)), *(" ".join(rng.choices("abcdefgh", k=50)) for _ in range(4))]
+    shape = quality_model.Shape(buckets=700)
+    model = quality_model.Model(shape, np.random.default_rng(3).normal(size=700).astype(np.float32), 0.2)
+    bags = [quality_model.Features(shape).bag((t or "").encode()) for t in texts]
+    monkeypatch.setattr(quality_model, "CHUNK", chunk)
+    run = _scorer(monkeypatch, model)
+    got = run(pa.record_batch({"text": pa.array(texts)}))["score"]
+    want = [1 / (1 + math.exp(-(float(share.astype(float) @ model.scalar[ids].astype(float)) + model.bias))) for ids, share in bags]
+    assert np.abs(got - want).max() < 1e-6
+    assert [float(run(pa.record_batch({"text": pa.array([t], pa.string())}))["score"][0]) for t in texts] == got.tolist()
+
+
+def test_scoring_rare_words_costs_a_few_splits(monkeypatch):
+    """N-grams of words met for the first time are hashed as arrays, not one by one."""
+    rng = random.Random(7)
+    raw = [[" ".join(f"w{int(rng.paretovariate(0.4)) % 10**9}x" for _ in range(400)) for _ in range(256)] for _ in range(6)]
+    batches, model = [pa.record_batch({"text": t}) for t in raw], quality_model.Model(quality_model.Shape(), np.ones(1 << 16, np.float32), 0.0)
+    split, count = [], []
+    for _ in range(3):
+        at = time.process_time()
+        for texts in raw:
+            assert [t.encode().split() for t in texts]
+        split.append(time.process_time() - at)
+        run = _scorer(monkeypatch, model)
+        at = time.process_time()
+        for batch in batches:
+            run(batch)
+        count.append(time.process_time() - at)
+    assert min(count) < 8 * min(split), (min(count), min(split))
+
+
 def test_token_files(docs, empty, tmp_path):
     """Tokens and checksums by the tokenizers library, in order of doc_id, those without one first."""
     t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
