@@ -33,9 +33,16 @@ def tables(spark: SparkSession) -> tuple[Column, Column]:
     return rows.select("gamma").scalar(), rows.select("log_gamma").scalar()
 
 
-def terms(text: Column) -> Column:
-    """Sorted 64-bit hashes of a text's WORDS-word shingles, one for each occurrence; of all words where there are fewer."""
-    words = F.array_remove(F.split(text, "[ \\t-\\r]+"), "")
+def words_of(text: Column) -> Column:
+    """A text's words, split at ASCII white space."""
+    return F.array_remove(F.split(text, "[ \\t-\\r]+"), "")
+
+
+def terms(words: Column) -> Column:
+    """Sorted 64-bit hashes of a text's WORDS-word shingles, one for each occurrence; of all words where there are fewer.
+
+    `words` must be a column of the frame below: it is named many times, and a function in its place would be worked out each time.
+    """
     n = F.size(words)
     shifted = [F.slice(words, i + 1, F.greatest(n - (WORDS - 1), F.lit(0))).alias(f"w{i}") for i in range(WORDS)]
     many = F.transform(F.arrays_zip(*shifted), lambda s: F.xxhash64(*[s[f"w{i}"] for i in range(WORDS)]))
@@ -109,7 +116,7 @@ def fingerprints(docs: DataFrame, count: int = 32, buckets: int | None = None) -
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256))
     keys = ["_b", "_ghost", "_wrap", "doc_id", "_key", "_row", "n_chars", "edited_sha256"]
     sides = F.when(F.col("_ghost") == 0, F.array(F.struct(F.lit(0).alias("_side"), F.col("text").alias("_text")), F.struct(F.lit(1).alias("_side"), F.col("_edited").alias("_text")))).otherwise(F.array(F.struct(F.lit(0).alias("_side"), F.col("text").alias("_text"))))
-    split = rows.select(*keys, F.inline(sides)).select(*keys, "_side", terms(F.col("_text")).alias("_h"))
+    split = rows.select(*keys, F.inline(sides)).select(*keys, "_side", words_of(F.col("_text")).alias("_words")).select(*keys, "_side", terms(F.col("_words")).alias("_h"))
     starts = split.select(*keys, "_side", "_h", F.expr("filter(sequence(1, greatest(size(_h), 1)), i -> i <= size(_h) and (i = 1 or _h[i - 1] != _h[i - 2]))").alias("_s"))
     runs = starts.select(*keys, "_side", "_h", F.inline_outer(F.arrays_zip(F.col("_s").alias("a"), F.expr("concat(slice(_s, 2, size(_h) + 1), array(size(_h) + 1))").alias("b"))))
     weighted = runs.select(*keys, "_side", F.expr("_h[a - 1]").alias("_term"), F.expr("b - a").alias("_w"))

@@ -207,6 +207,12 @@ def test_fingerprints(docs, empty):
     assert weighted_print.fingerprints(empty).count() == 0
 
 
+def test_texts_are_split_once(spark, docs):
+    """The regular expression stands once in the plan, not in every place that names the words."""
+    plan = weighted_print.fingerprints(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bsplit\([^,]*_text", plan)) == 1
+
+
 def test_collision_rate(spark):
     """The share of equal samples against the generalised Jaccard similarity."""
     rng = random.Random(1)
